@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, neardup, pii, quality, tokencount, toxicity
+from . import ann, chat, decontaminate, licenses, neardup, pieces, pii, quality, tokencount, toxicity
 from .common import bucket_of, read_table
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), tokencount.default_tokenizer())
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     held_out = bucket_of("conv_id", 3) == 1
@@ -59,7 +63,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_toxicity, op8_simhash_neardup, op9_pii, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_chat_format, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_toxicity, op8_simhash_neardup, op9_pii, op10_ann)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
