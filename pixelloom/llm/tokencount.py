@@ -32,7 +32,7 @@ from .common import short_batches, work_dir
 
 OVER = 2048
 #: Pieces between white space whose counts a worker remembers, and the longest that it remembers.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64
 _TOKENIZERS: dict[tuple[str, bool], object] = {}
 
 
@@ -88,7 +88,8 @@ def counter(path: str, apart: bool = False) -> Counter:
 
 def normalised(text: Column) -> Column:
     """The content that stands for all texts that differ in case or white space alone."""
-    folded = F.translate(F.regexp_replace(text, "[\\x09-\\x0D\\x20]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Single spaces, the most of all, need no replacement.
+    folded = F.translate(F.regexp_replace(text, "[\\x09-\\x0D\\x20]{2,}|[\\x09-\\x0D]", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.when(F.contains(text, F.lit("<|")), text).otherwise(folded)
 
 
