@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -43,3 +43,10 @@ def ship(spark: SparkSession) -> None:
         stream.close()
     sc.addPyFile(path.toString())
     _SHIPPED.add(sc.applicationId)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a path of its own in the shared folder and read again: what is used more than once is computed once, and a lost executor costs no stage before it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
