@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built from labelled text, one from good and one
 from bad documents. A text is cut into blocks of 2 KiB, each compressed with
-either dictionary; the normalised difference of the two sizes, with the
-two compressed shares themselves, goes through a logistic calibration fitted on
+either dictionary; the normalised difference of the two sizes, with their
+share of the text and the products of both, goes through a logistic calibration fitted on
 labelled documents that took no part in the dictionaries.
 
 The sample of labelled documents is bounded: `sample` documents of each class
@@ -70,35 +70,61 @@ class Compressor:
         n, good, bad = np.array([self.sizes(t) for t in texts], np.float64).reshape(-1, 3).T
         some = n > 0
         n, both = np.where(some, n, 1), np.where(some, good + bad, 1)
-        diff = np.where(some, (bad - good) / both, 0)
-        ratio = np.where(some, both / (2 * n) - 0.3, 0)
-        return np.stack([10 * diff, 5 * np.clip(ratio, -1, 1), np.minimum(0, ratio + 0.2) * 20], axis=1)
+        diff = np.where(some, 10 * (bad - good) / both, 0)
+        ratio = np.where(some, 5 * np.clip(both / (2 * n) - 0.3, -1, 1), 0)
+        return np.stack([diff, ratio, diff * diff, ratio * ratio, diff * ratio], axis=1)
 
 
 def build_dictionary(texts: list[str]) -> bytes:
-    """A zstandard dictionary of the texts; of too little text, the text itself is the dictionary's content."""
-    raws = [t.encode("utf-8", "replace") for t in texts if t]
-    blocks = [r[i : i + BLOCK] for r in raws for i in range(0, len(r), BLOCK)]
+    """A zstandard dictionary of the texts.
+
+    Each text gives at most three blocks, spread over it, and equal blocks count
+    once, so that a long text of one repeated word doesn't fill the dictionary.
+    Where training still ends far below the size wanted, the dictionary's content is
+    slices of all blocks alike.
+    """
+    blocks: dict[bytes, None] = {}
+    for t in texts:
+        raw = t.encode("utf-8", "replace")
+        starts = range(0, len(raw), BLOCK)
+        for i in sorted({starts[0], starts[len(starts) // 2], starts[-1]}) if raw else ():
+            blocks[raw[i : i + BLOCK]] = None
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
+        trained = zstandard.train_dictionary(DICT_BYTES, list(blocks)).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(blocks)[-DICT_BYTES:]
+        trained = b""
+    if len(trained) >= DICT_BYTES // 2:
+        return trained
+    share = max(64, DICT_BYTES // max(len(blocks), 1))
+    return b"".join(b[len(b) // 3 :][:share] for b in blocks)[-DICT_BYTES:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton's method with halved steps over standardised features; classes weigh alike."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
-    penalty[-1, -1] = 1e-6
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (penalty * w * w).sum())
+
+    w = np.zeros(z.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + penalty @ w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (weight * (p - y)) + penalty * w
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), grad)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, now):
             break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ mean
     return w
 
 
