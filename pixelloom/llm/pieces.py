@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import public_tokenizers
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +129,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     pieces = pieces.select("piece", F.col("rank").cast("long").alias("rank"), F.col("id").cast("long").alias("id"))
     size = F.char_length("word")
     apart = (size > MAX_WORD) | ((size > 1) & (F.replace("word", F.lit(SPACE), F.lit("")) == ""))
-    short, long = words.where(~apart), words.where(apart)
+    # Dealt by word once, in a fixed number of parts as each word grows to dozens of edges; the grouping below needs no other exchange.
+    short, long = words.where(~apart).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), words.where(apart)
     starts = short.select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     parts = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("s")))).alias("len"))
     parts = parts.select("word", "s", "len", F.substring("word", F.col("s") + 1, F.col("len")).alias("piece"))
@@ -175,33 +175,34 @@ def _bytes_for(ids: list[int], byte0: int) -> list[int]:
 
 
 def _rare(hot):
-    """(key, packed text, its words outside the dictionary) of each document."""
+    """(key, word): each document's words outside the dictionary, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, press = hot.value, zstandard.ZstdCompressor(level=1)
+        known = hot.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            packed = [press.compress((t or "").encode()) for t in texts]
-            rare = [list({x for w in words_of(t) for x in looked_up(w) if x not in known}) if t else [] for t in texts]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=[*names, "packed", "rare"])
+            keys, rare = [], []
+            for k, t in zip(batch.column("__key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = {x for w in set(words_of(t)) for x in looked_up(w) if x not in known} if t else ()
+                keys += [k] * len(own)
+                rare += own
+            yield pa.RecordBatch.from_pydict({"__key": pa.array(keys, pa.int64()), "word": pa.array(rare, pa.string())})
 
     return run
 
 
 def _assemble(hot, byte0: int, space: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, press = hot.value, zstandard.ZstdDecompressor()
+        known = hot.value
         for batch in batches:
             out = []
-            for packed, own in zip(batch.column("packed").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                words = words_of(press.decompress(packed).decode()) if packed else []
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                words = words_of(text) if text else []
                 here = {x["word"]: _bytes_for(x["ids"], byte0) for x in own or []}
                 got: list[int] = []
                 for w in words:
                     got += known[w] if w in known else ids_of(w, lambda x: known[x] if x in known else here[x], space)  # noqa: B023
                 out.append(got)
-            names = [n for n in batch.schema.names if n not in ("packed", "own", "__key", "rare")]
+            names = [n for n in batch.schema.names if n not in ("text", "own", "__key")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.int32()))], names=[*names, "ids"])
 
     return run
@@ -223,10 +224,9 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
     rows = docs.select(*keep, F.col(text_col).alias("text"))
     # Rows are keyed by their content and id; equal rows share their words.
     keyed = rows.withColumn("__key", F.xxhash64(*[F.col(c) for c in keep], "text"))
-    parts = keyed.mapInArrow(_rare(shared), f"{fields}, __key long, packed binary, rare array<string>")
-    asked = parts.select("__key", F.explode("rare").alias("word")).distinct()
-    own = asked.join(table, "word").groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    out = parts.drop("rare").join(own, "__key", "left").mapInArrow(_assemble(shared, vocabulary.byte0, vocabulary.space), f"{fields}, ids array<int>")
+    asked = keyed.select("__key", "text").mapInArrow(_rare(shared), "__key long, word string").repartition("word").distinct()
+    own = asked.join(table.select("word", "ids"), "word").groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+    out = keyed.join(own, "__key", "left").mapInArrow(_assemble(shared, vocabulary.byte0, vocabulary.space), f"{fields}, ids array<int>")
     remove(spark, f"{folder}/words")
     return out
 
