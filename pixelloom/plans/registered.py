@@ -16,9 +16,9 @@ from . import extract as E
 
 
 def drawn_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): PNGs of 400 x 320, the outlines and fills of a screen's boxes; one for each ten screens' derived image_id."""
+    """(path, content): PNGs of 400 x 320, the outlines and fills of a screen's boxes; one for each derived image_id."""
     ship(spark)
-    c = S.components(spark, sf_dir).where(F.col("image_id") % 10 == 0)
+    c = S.components(spark, sf_dir)
     box = F.struct("k", *[(F.col(v) * 2 / 5).cast("int").alias(v) for v in "xywh"], "color")
     lists = c.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("m"))
 
