@@ -43,8 +43,8 @@ UNION ALL SELECT image_id, cast(100 AS bigint), 'card', cast(900 AS bigint), cas
 
 
 def pixels_sql(d: Dialect, events: str = "events") -> str:
-    """(image_id, y, x, r, g, b): a white canvas with the first three boxes of every eleventh screen, shrunk; later boxes lie on top."""
-    boxes = f"(SELECT image_id, k, {', '.join(f'{d.div(c, SHRINK)} AS {c}' for c in 'xywh')}, (k * 67 + image_id * 31) % 256 AS r, (k * 131) % 256 AS g, (image_id * 29) % 256 AS b FROM ({components_sql(d, events)}) c WHERE image_id % 11 = 0 AND k < 3)"
+    """(image_id, y, x, r, g, b): a white canvas with all boxes of a screen, shrunk, for every screen; later boxes lie on top."""
+    boxes = f"(SELECT image_id, k, {', '.join(f'{d.div(c, SHRINK)} AS {c}' for c in 'xywh')}, (k * 67 + image_id * 31) % 256 AS r, (k * 131) % 256 AS g, (image_id * 29) % 256 AS b FROM ({components_sql(d, events)}) c)"
     grid = d.call(
         f"(SELECT cast(id div {PIX_W} AS bigint) AS y, cast(id % {PIX_W} AS bigint) AS x FROM range({PIX_W * PIX_H}))",
         f"(SELECT id // {PIX_W} AS y, id % {PIX_W} AS x FROM range({PIX_W * PIX_H}) t(id))",

@@ -254,3 +254,20 @@ def test_stream(spark, tmp_path):
 
 def test_derived(spark):
     assert S.components(spark, SF).count() > 0 and S.pixels(spark, SF).count() > 0
+
+
+def test_pixels_of_every_screen(spark):
+    boxes = {}
+    for c in S.components(spark, SF).collect():
+        boxes.setdefault(c.image_id, []).append(c)
+    want = {}
+    for i, rows in boxes.items():
+        img = np.full((S.PIX_H, S.PIX_W, 3), 255, int)
+        for c in sorted(rows, key=lambda c: c.k):
+            x, y, w, h = (v // S.SHRINK for v in (c.x, c.y, c.w, c.h))
+            img[y : y + h + 1, x : x + w + 1] = ((c.k * 67 + i * 31) % 256, c.k * 131 % 256, i * 29 % 256)
+        want[i] = img
+    got = S.pixels(spark, SF).toPandas().sort_values(["image_id", "y", "x"])
+    assert sorted(set(got.image_id)) == sorted(want) and len(got) == len(want) * S.PIX_H * S.PIX_W
+    for i, part in got.groupby("image_id"):
+        assert (part[["r", "g", "b"]].to_numpy().reshape(want[i].shape) == want[i]).all(), i
