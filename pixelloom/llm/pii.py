@@ -36,7 +36,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Looked ahead for, so that one that fails hides none that begins inside it.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    c: n
+    for n, cs in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"),
+        (25, "LY PT ST"), (26, "IS TR"), (27, "FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU"), (31, "MT SC"), (32, "LC"),
+    )
+    for c in cs.split()
+}
+_WORD_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
 _PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.8}
 _FOR = {
@@ -101,6 +112,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each candidate the part of its country's length, or for other countries the longest, that ends with a word and has the right checksum."""
+    reach = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < reach:
+            continue
+        a = m.start()
+        for b in reversed([e.end() for e in _WORD_END.finditer(text, a, m.end(1) + 1) if e.end() <= m.end(1)]):
+            size = b - a - text.count(" ", a, b)
+            if size == _IBAN_LENGTH.get(text[a : a + 2], size) and mod97(text[a:b]):
+                yield a, (reach := b)
+                break
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]
     return min(1.0, max(0.0, _PRIOR[kind] + 0.2 * bool(_FOR[kind].search(near)) - 0.4 * bool(_AGAINST[kind].search(near))))
@@ -111,9 +136,8 @@ def find_spans(text: str, min_score: float = MIN_SCORE) -> list[dict]:
     base = base_spans(text)
     found = [(k, a, b, _score(text, k, a, b)) for k, a, b in base]
     if _DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            a, b = m.span()
-            if mod97(m[0]) and not any(x < b and a < y for _, x, y in base) and (s := _score(text, "iban", a, b)) >= min_score:
+        for a, b in _ibans(text):
+            if not any(x < b and a < y for _, x, y in base) and (s := _score(text, "iban", a, b)) >= min_score:
                 found.append(("iban", a, b, s))
     return [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in found]
 

@@ -273,6 +273,19 @@ def test_pii(spark, texts):
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
 
 
+@pytest.mark.parametrize("before", ["", "IBAN ", "DE12 "])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " EUR", " EUR 1200", " 2024", " Konto", " X", ", EUR", "\nBIC", " GB82 WEST 1234 5698 7654 32"])
+def test_iban_before_words(before, iban, after):
+    spans = [(s["start"], s["end"]) for s in pii.find_spans(before + iban + after) if s["kind"] == "iban"]
+    assert spans[:1] == [(len(before), len(before) + len(iban))]
+    assert len(spans) == 1 + after.startswith(" GB82")
+
+
+def test_iban_ends_with_its_word():
+    assert not [s for s in pii.find_spans("DE89370400440532013000x DE89370400440532013000A DE89 3704 0044 0532 0130 00a") if s["kind"] == "iban"]
+
+
 # 10
 
 
