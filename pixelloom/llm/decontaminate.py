@@ -184,9 +184,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns."""
-    spark = docs.sparkSession
-    bad = find_matches(docs, benchmark, key_col, **options).where("n_hit > 0").select(F.col(key_col).alias("__bad")).distinct()
-    del spark
-    return docs.join(bad, docs[key_col].eqNullSafe(F.col("__bad")), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no window of the benchmark, with all their columns. Each row is judged by its own text, so ids may be null or repeated."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col))
+    return find_matches(rows, benchmark, "__row", text_col, **options).where("n_hit = 0").select("__row.*")

@@ -210,11 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the least id of each component, once, with all its columns; documents without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    joined = docs.join(kept, docs[id_col] == F.col("__kept")).drop("__kept")
-    others = [c for c in docs.columns if c != id_col]
-    one = joined.groupBy(id_col).agg(F.first(F.struct(*others)).alias("__row")) if others else joined.distinct()
-    one = one.select(*[F.col(id_col) if c == id_col else F.col("__row")[c].alias(c) for c in docs.columns])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """The document with the least id of each component, once, with all its columns; documents without an id stay. A document is an id with a text: an id that several texts share names them all."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), digest.alias("digest"))))
+    found = near_duplicates(keyed, "__key", text_col, **options)
+    kept = found.where(F.col("__key") == F.col("component_id")).select(F.col("__key").alias("__kept")).distinct()
+    joined = keyed.join(kept, F.col("__key") == F.col("__kept")).groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return joined.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))

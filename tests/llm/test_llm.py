@@ -337,6 +337,21 @@ def test_pipeline(spark):
     assert got == want and 0 < len(got) < len(rows)
 
 
+def test_stages_go_by_row(spark):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    made = [" ".join(f"{a}{i}" for i in range(40)) for a in ("plum", "stone", "river", "cloud", "amber", "north")]
+    rows = [(None, leak), (None, made[0]), (None, made[1]), (7, leak), (7, made[2]), (7, made[3]), (8, made[4]), (9, None)]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    bench = spark.createDataFrame([("b", leak)], "item_id string, text string")
+    clean = decontaminate.remove_contaminated(table, bench)
+    assert sorted(r.row for r in clean.collect()) == [1, 2, 4, 5, 6, 7] and clean.columns == table.columns
+    rows = [(7, made[2]), (7, made[3]), (7, made[3]), (8, made[3]), (8, made[4]), (9, made[5]), (None, made[0]), (None, made[1])]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    one = neardup.keep_one(table)
+    got = sorted(((r.doc_id, r.text) for r in one.collect()), key=repr)
+    assert got == sorted([(7, made[2]), (7, made[3]), (8, made[4]), (9, made[5]), (None, made[0]), (None, made[1])], key=repr) and one.columns == table.columns
+
+
 def test_oracle_of_decontamination(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
