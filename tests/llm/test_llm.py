@@ -313,6 +313,37 @@ def test_neighbours(spark):
     assert ann.nearest(tiny.where("false"), F.col("id") == 0).count() == 0
 
 
+def chain(spark, n):
+    """A node a degree, each with edges to its two neighbours only."""
+    a = np.radians(np.arange(n) * 180 / n)
+    half = ann._half(np.stack([np.cos(a), np.sin(a)], axis=1))
+    halves = spark.createDataFrame([(i, half[i].tobytes()) for i in range(n)], "id long, half binary")
+    edges = spark.createDataFrame([(i, j, float(np.cos(a[1]))) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "node long, id long, sim float")
+    return halves, edges
+
+
+def test_search_goes_on_until_settled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "ENTRIES", 1)
+    halves, edges = chain(spark, 36)
+    first = halves.orderBy(F.xxhash64("id"), "id").first().id
+    far = 0 if first >= 18 else 35
+    ask = halves.where(F.col("id") == far).selectExpr("-1L AS query", "half", "cast(null AS long) AS start")
+    found = ann.greedy_search(ask, halves, edges, str(tmp_path / "a"), 2, beam=4, expand=1)
+    assert found.first().ids[0] == far  # eighteen steps away at least
+    with pytest.raises(RuntimeError):
+        ann.greedy_search(ask, halves, edges, str(tmp_path / "b"), 2, beam=4, expand=1, most_rounds=2)
+
+
+def test_beam_grows_until_recall_is_met(spark):
+    v = np.random.default_rng(8).standard_normal((900, 24))
+    table = spark.createDataFrame([(i, v[i].tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("id") % 30 == 0, k=8, beam=8).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T - 9 * np.eye(900)
+    hit = sum(len(set(np.argsort(-sims[q])[:5]) & set(part.vec_id)) for q, part in got.groupby("query_id"))
+    assert hit >= 0.95 * 5 * 30
+
+
 # The pipeline
 
 
