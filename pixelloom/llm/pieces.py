@@ -1,28 +1,39 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-The words of all texts are counted (a word: its leading white space, as the
-piece alphabet writes it, and what follows up to the next). Of each distinct word
-all substrings of at most the longest piece's length are exploded and
-equi-joined to the piece table, which the vocabulary file bounds. The edges that
-join are grouped by word and folded with Spark's higher-order `aggregate`.
+A text is cut into words (leading white space, as the piece alphabet writes it,
+and what follows up to the next), and words into parts wherever no piece of the
+vocabulary holds the two characters on either side: no merge reaches over such a
+place. Of each part all substrings of at most the longest piece's length are
+exploded and equi-joined to the piece table, which the vocabulary file bounds.
+The edges that join are grouped by part and folded with Spark's higher-order
+`aggregate` into a bit mask of the boundaries that stand in the end.
 
 The fold is not Viterbi's: the public model is a BPE model, whose encoding is
 defined by merge priority and not by the best sum of scores, and a Viterbi
 path over it gives other ids than the library. Edges are folded in order of
-priority (then place, then length) over a bit mask of the boundaries that still
-stand: an edge is taken if it starts and ends at one and exactly one stands
-between. Parts of a piece have a higher priority than the piece, so one pass gives
-the library's ids; tests compare them.
-
-Words of over 62 code points, too long for the mask, are encoded with the
-library. So are words of white space alone: their pieces break the rule that parts
-come first. A word behind a longer run of white space is looked up behind one space,
-and the rest of the run by itself. Texts are assembled from words: the most frequent ones from a dictionary
-that `hot` bounds, all others by a join with the documents that hold them.
+priority (then place, then length): an edge is taken if it starts and ends at
+standing boundaries and exactly one stands between. Parts of a piece have a
+higher priority than the piece, so one pass gives the library's ids; tests compare
+them.
+
+The lattice meets each frequent part once: those of `sample` documents, the
+first by a hash of the text, fill a dictionary of `hot` parts, which is
+broadcast. It saves work only; ids don't depend on what it holds. One pass over all
+documents then writes known parts' ids and leaves holes for the others. These
+travel once, to the task that their document goes to, are cut there by the lattice
+and fill the holes. Rows have keys of their own (task and place in it), so neither copies
+nor equal ids meet in one group.
+
+The library itself encodes what the mask can't hold (parts of over MAX_PART code
+points) and runs of white space, whose pieces break the rule that parts come first.
 Characters without a piece are written as their UTF-8 bytes' pieces.
 
+Decoding looks each id up in the table of the pieces' bytes and joins them.
+
 Defined results: null and empty texts have no pieces; repeated rows each get their
-row; other columns stay where asked for.
+row; a kept column named like a result gives way to it; other columns are not
+read; an empty table gives an empty result. `docs` must give the same rows in the same
+order when a task is run again, as files do.
 """
 
 from __future__ import annotations
@@ -30,21 +41,30 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, short_batches, work_dir, write_table
+from .common import short_batches
 
 SPACE = "▁"
-MAX_WORD = 62
-HOT = 300_000
-#: Words that a counting task holds before it passes its counts on.
-HELD = 200_000
+MAX_PART = 60
+#: Parts of the broadcast dictionary, and documents that it is made of.
+HOT, SAMPLE = 500_000, 50_000
+#: Distinct words that a counting task holds before it passes its counts on, and words that an encoding one remembers.
+HELD, REMEMBERED = 200_000, 300_000
+#: Words of a text that are handled at once.
+RUN = 1 << 18
 _SPLIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, object] = {}
+_VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def default_model() -> str:
@@ -59,189 +79,282 @@ def library(path: str):
     return _MODELS[path]
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, in order: white space is written as pieces write it, a dummy space goes before the text."""
-    return _SPLIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def _behind(word: str) -> tuple[int, str] | None:
-    """The number of spaces and the rest of a word behind more than one space."""
-    rest = word.lstrip(SPACE)
-    return (len(word) - len(rest), rest) if rest and len(word) - len(rest) > 1 else None
-
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, in order, RUN at a time: white space is written as pieces write it, a dummy space goes before the text."""
+    if not text:
+        return
+    marked = SPACE + text.replace(" ", SPACE)
+    if len(marked) <= RUN:
+        yield _SPLIT.findall(marked)
+        return
+    found = (m.group() for m in _SPLIT.finditer(marked))
+    while some := list(islice(found, RUN)):
+        yield some
 
-def looked_up(word: str) -> list[str]:
-    """The words whose ids make up those of a word in a text."""
-    if word[:2] == SPACE * 2 and (found := _behind(word)):
-        return [SPACE + found[1], SPACE * (found[0] - 1), SPACE * found[0]]
-    return [word]
 
-
-def ids_of(word: str, table, space: int) -> list[int]:
-    """The ids of a word in a text; `table` gives those of what looked_up() names."""
-    if word[:2] == SPACE * 2 and (found := _behind(word)):
-        ids = table(SPACE + found[1])
-        return table(SPACE * found[0]) + ids[1:] if ids[0] == space else table(SPACE * (found[0] - 1)) + ids
-    return table(word)
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 class Vocabulary:
-    """(piece, rank, id): normal pieces by priority; byte pieces by byte."""
+    """rows: (piece, rank) of normal pieces of two characters or more, by priority; ids of all normal pieces; pairs of characters that some piece holds."""
 
     def __init__(self, path: str):
-        sp = library(path)
+        sp = self.model = library(path)
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         ranks = {s: k for k, s in enumerate(sorted({-sp.get_score(i) for i in normal}))}
-        self.rows = [(sp.id_to_piece(i), ranks[-sp.get_score(i)], i) for i in normal]
-        self.longest = max(len(p) for p, _, _ in self.rows)
+        self.ids = {sp.id_to_piece(i): i for i in normal}
+        self.rows = [(p, ranks[-sp.get_score(i)]) for p, i in self.ids.items() if len(p) > 1]
+        self.longest = max(len(p) for p in self.ids)
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.byte0, self.space = sp.piece_to_id("<0x00>"), sp.piece_to_id(SPACE)
-        if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p, _, _ in self.rows) or self.longest > 31 or n > 1 << 15:
+        if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in self.ids) or self.longest > 31 or len(ranks) > 1 << 20:
             raise ValueError("a piece reaches over words, or the vocabulary is too large for packed edges")
+        self._dummy = len(sp.encode("\n"))
 
+    def parts(self, word: str) -> list[str]:
+        """The word, cut where no piece can reach over."""
+        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
+    def by_library(self, word: str) -> bytes:
+        # A word that begins with a space gets one less, which the dummy space makes up for; before others a line break keeps the dummy apart.
+        if word[0] == SPACE and len(word) > 1:
+            return _packed(self.model.encode(word[1:].replace(SPACE, " ")))
+        return _packed(self.model.encode("\n" + word.replace(SPACE, " "))[self._dummy :])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+    def cut(self, part: str, mask: int) -> bytes:
+        """The ids of a part, of which the mask tells the boundaries."""
+        at = [k for k in range(len(part) + 1) if mask >> k & 1]
+        return b"".join(self.piece(part[a:b]) for a, b in zip(at, at[1:], strict=False))
 
-    for batch in batches:
-        for t in batch.column("text").to_pylist():
-            if t:
-                held.update(words_of(t))
-        for w in [w for w in held if w[:2] == SPACE * 2 and _behind(w)]:
-            n = held.pop(w)
-            for x in looked_up(w):
-                held[x] += n
-        if len(held) > HELD:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
+    def piece(self, piece: str) -> bytes:
+        return _packed([self.ids[piece]] if piece in self.ids else [self.byte0 + b for b in piece.encode()])
+
+    def surfaces(self) -> pa.Array:
+        """What each id stands for, as bytes."""
+        sp = self.model
+        return pa.array([sp.id_to_piece(i).replace(SPACE, " ").encode() if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) else bytes([i - self.byte0]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else b"" for i in range(sp.get_piece_size())], pa.binary())
+
+
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
+def in_lattice(part: str) -> bool:
+    return 1 < len(part) <= MAX_PART and part[:2] != SPACE * 2
+
+
+class Words(dict):
+    """Word → its ids as bytes, or, of one with parts that are not known, a list of bytes and those parts."""
+
+    def __init__(self, known: dict[str, bytes], path: str):
+        super().__init__()
+        self.known, self.of = known, vocabulary(path)
+        self.single = {}
 
+    def __missing__(self, word: str) -> bytes | list[bytes | str]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self.behind(word) if word[:2] == SPACE * 2 else self.joined(word)
+        if type(found) is bytes:
+            self[word] = found
+        return found
+
+    def joined(self, word: str) -> bytes | list[bytes | str]:
+        out = [self.part(p) for p in self.of.parts(word)]
+        return out if any(type(x) is str for x in out) else b"".join(out)
+
+    def part(self, part: str) -> bytes | str:
+        if len(part) == 1:
+            return self.single.get(part) or self.single.setdefault(part, self.of.piece(part))
+        return self.known.get(part) or (part if in_lattice(part) else self.of.by_library(part))
+
+    def behind(self, word: str) -> bytes | list[bytes | str]:
+        """A word behind more than one space: behind one, and the rest of the run by itself."""
+        rest = word.lstrip(SPACE)
+        more = len(word) - len(rest)
+        found = self[SPACE + rest] if rest else None
+        first = found[0] if type(found) is list else found
+        if type(first) is not bytes:
+            return self.of.by_library(word)
+        alone = first[:4] == _packed([self.of.space])
+        run, first = (self[SPACE * more], first[4:]) if alone else (self[SPACE * (more - 1)], first)
+        return run + first if type(found) is bytes else [run + first, *found[1:]]
+
+
+def _counts(path: str):
+    """Texts → (word, n): the parts that the lattice can cut."""
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): ids of each distinct word (column word); a character without a piece is -1 minus its code point."""
-    spark = words.sparkSession
-    vocabulary = Vocabulary(path)
-    pieces = spark.createDataFrame(pa.table({"piece": [r[0] for r in vocabulary.rows], "rank": [r[1] for r in vocabulary.rows], "id": [r[2] for r in vocabulary.rows]}))
-    pieces = pieces.select("piece", F.col("rank").cast("long").alias("rank"), F.col("id").cast("long").alias("id"))
-    size = F.char_length("word")
-    apart = (size > MAX_WORD) | ((size > 1) & (F.replace("word", F.lit(SPACE), F.lit("")) == ""))
-    # Dealt by word once, in a fixed number of parts as each word grows to dozens of edges; the grouping below needs no other exchange.
-    short, long = words.where(~apart).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), words.where(apart)
-    starts = short.select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    parts = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("s")))).alias("len"))
-    parts = parts.select("word", "s", "len", F.substring("word", F.col("s") + 1, F.col("len")).alias("piece"))
-    met = parts.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    # An edge in one long, in order of priority, place, length: rank, start, length, id. Unknown characters come last, with id 0.
-    edge = F.shiftleft(F.coalesce("rank", F.lit((1 << 20) - 1).cast("long")), 26) + F.shiftleft(F.col("s").cast("long"), 20) + F.shiftleft(F.col("len").cast("long"), 15) + F.coalesce("id", F.lit(0).cast("long"))
-    grouped = met.select("word", edge.alias("e")).groupBy("word").agg(F.array_sort(F.collect_list("e")).alias("edges"))
-
-    fold = f"""aggregate(edges, shiftleft(2L, char_length(word)) - 1L, (m, e) -> CASE WHEN
-        getbit(m, cast(shiftright(e, 20) & 63L AS int)) = 1 AND getbit(m, cast((shiftright(e, 20) & 63L) + (shiftright(e, 15) & 31L) AS int)) = 1
-        AND bit_count(m & shiftleft(shiftleft(1L, cast((shiftright(e, 15) & 31L) - 1 AS int)) - 1L, cast((shiftright(e, 20) & 63L) + 1 AS int))) = 1
-        THEN m & ~shiftleft(shiftleft(1L, cast((shiftright(e, 15) & 31L) - 1 AS int)) - 1L, cast((shiftright(e, 20) & 63L) + 1 AS int)) ELSE m END)"""
-    folded = grouped.select("word", "edges", F.expr(fold).alias("mask"))
-    taken = """array_sort(transform(filter(edges, e ->
-        getbit(mask, cast(shiftright(e, 20) & 63L AS int)) = 1 AND getbit(mask, cast((shiftright(e, 20) & 63L) + (shiftright(e, 15) & 31L) AS int)) = 1
-        AND bit_count(mask & shiftleft(shiftleft(1L, cast((shiftright(e, 15) & 31L) - 1 AS int)) - 1L, cast((shiftright(e, 20) & 63L) + 1 AS int))) = 0),
-        e -> (shiftright(e, 20) & 63L) * 32768L + (e & 32767L)))"""
-    ids = f"transform({taken}, x -> cast(CASE WHEN (x & 32767L) > 0 THEN x & 32767L ELSE -1 - ascii(substring(word, cast(shiftright(x, 15) AS int) + 1, 1)) END AS int))"
-    encoded = folded.select("word", F.expr(ids).alias("ids"))
-    return encoded.unionAll(long.select("word").mapInArrow(_whole(path), "word string, ids array<int>"))
-
-
-def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = library(path)
-        dummy = sp.encode("\n")[:-1]  # the dummy space and, last, the line break's byte
+        of, held = vocabulary(path), Counter()
+
+        def out() -> pa.RecordBatch:
+            parts: Counter[str] = Counter()
+            for w, n in held.items():
+                for p in of.parts(w if w[:2] != SPACE * 2 else SPACE + w.lstrip(SPACE)):
+                    if in_lattice(p):
+                        parts[p] += n
+            held.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(parts), pa.string()), "n": pa.array(list(parts.values()), pa.int64())})
+
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                # A word that begins with a space gets one less, which the dummy space makes up for; before others a line break keeps the dummy apart.
-                out.append(sp.encode(w[1:].replace(SPACE, " ")) if w[0] == SPACE and len(w) > 1 else sp.encode("\n" + w.replace(SPACE, " "))[len(dummy) + 1 :])
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "ids": pa.array(out, pa.list_(pa.int32()))})
+            for t in batch.column("text").to_pylist():
+                for words in words_of(t):
+                    held.update(words)
+                    if len(held) > HELD:
+                        yield out()
+        yield out()
 
     return run
 
 
-def _bytes_for(ids: list[int], byte0: int) -> list[int]:
-    """Ids with characters that have no piece written as bytes."""
-    if min(ids, default=0) >= 0:
-        return ids
-    return [j for i in ids for j in ([i] if i >= 0 else [byte0 + b for b in chr(-1 - i).encode()])]
-
-
-def _rare(hot):
-    """(key, word): each document's words outside the dictionary, once a document."""
+def boundaries(rows: DataFrame, by: tuple[str, ...], path: str, *carried: str) -> DataFrame:
+    """(by, word, carried, mask): the boundaries that stand in each word in the end, as bits; null where word is null. One row a group of `by`, in which rows are already dealt."""
+    of = vocabulary(path)
+    pieces = rows.sparkSession.createDataFrame(pa.table({"piece": [p for p, _ in of.rows], "rank": pa.array([r for _, r in of.rows], pa.int32())}))
+    rows = rows.select(*by, "word", *carried)
+    starts = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.char_length("word") - 2)).alias("s"))
+    parts = starts.select("*", F.explode_outer(F.sequence(F.lit(2), F.least(F.lit(of.longest), F.char_length("word") - F.col("s")))).alias("len"))
+    parts = parts.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("len")))
+    # The first row stays, so that a word without an edge does.
+    met = parts.join(F.broadcast(pieces), "piece", "left").where(F.col("rank").isNotNull() | (F.coalesce("s", F.lit(0)) + F.coalesce("len", F.lit(2)) == 2))
+    # An edge in one int, in order of priority, place, length.
+    edge = F.shiftleft("rank", 11).bitwiseOR(F.shiftleft("s", 5)).bitwiseOR(F.col("len"))
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in ("word", *carried)]
+    grouped = met.select(*by, "word", *carried, edge.alias("e")).groupBy(*by).agg(*kept, F.sort_array(F.collect_list("e")).alias("edges"))
+    start, size = "shiftright(e, 5) & 63", "(e & 31)"
+    ends, inner = f"shiftleft(shiftleft(1L, {size}) + 1L, {start})", f"shiftleft(shiftleft(1L, {size}) - 2L, {start})"
+    fold = f"aggregate(edges, shiftleft(1L, char_length(word) + 1) - 1L, (m, e) -> CASE WHEN (m & {ends}) = {ends} AND bit_count(m & {inner}) = 1 THEN m & ~{inner} ELSE m END)"
+    return grouped.select(*by, "word", *carried, F.expr(fold).alias("mask"))
+
+
+def dictionary(docs: DataFrame, path: str, hot: int, sample: int) -> dict[str, bytes]:
+    """The ids of at most `hot` parts, the most frequent of `sample` documents (in the mean). docs: (text)."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(max(1, -(-n // sample)))) == 0)
+    words = some.mapInArrow(_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = words.where("n > 1").orderBy(F.desc("n"), "word").limit(hot)
+    dealt = frequent.select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("word"))
+    of = vocabulary(path)
+    cut = boundaries(dealt.withColumn("key", F.col("word")), ("key",), path).select("word", "mask")
+    return {r["word"]: of.cut(r["word"], r["mask"]) for r in cut.toLocalIterator()}  # `hot` rows
+
+
+_WORKERS: dict[object, Words] = {}
+
+
+def _with_holes(known, path: str, kind: str):
+    """(row, text) → a row for each document: key, row and the ids, packed, where -1 - place stands for an unknown part; and one for each such part: key, place, word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        if path not in _WORKERS:
+            _WORKERS.clear()
+            _WORKERS[path] = Words(known.value, path)
+        words, press = _WORKERS[path], zstandard.ZstdCompressor(level=1)
+        key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, rare = [], []
-            for k, t in zip(batch.column("__key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = {x for w in set(words_of(t)) for x in looked_up(w) if x not in known} if t else ()
-                keys += [k] * len(own)
+            packed, keys, places, rare = [], [], [], []
+            first = key
+            for t in batch.column("text").to_pylist():
+                own: dict[str, int] = {}
+                out = []
+                for some in words_of(t):
+                    found = list(map(words.__getitem__, some))
+                    try:
+                        out.append(b"".join(found))
+                    except TypeError:
+                        for x in found:
+                            out += [x] if type(x) is bytes else [p if type(p) is bytes else (~own.setdefault(p, len(own))).to_bytes(4, "little", signed=True) for p in x]
+                packed.append(press.compress(b"".join(out)))
+                keys += [key] * len(own)
+                places += range(len(own))
                 rare += own
-            yield pa.RecordBatch.from_pydict({"__key": pa.array(keys, pa.int64()), "word": pa.array(rare, pa.string())})
+                key += 1
+            n, m = batch.num_rows, len(rare)
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*range(first, key), *keys], pa.int64()), pa.array([-1] * n + places, pa.int32()), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(rare, pa.string())]), pa.concat_arrays([row, pa.nulls(m, row.type)]), pa.concat_arrays([pa.array(packed, pa.binary()), pa.nulls(m, pa.binary())])],
+                names=["key", "place", "word", "row", "packed"],
+            )
 
     return run
 
 
-def _assemble(hot, byte0: int, space: int):
+def _filled(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        of, press = vocabulary(path), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                words = words_of(text) if text else []
-                here = {x["word"]: _bytes_for(x["ids"], byte0) for x in own or []}
-                got: list[int] = []
-                for w in words:
-                    got += known[w] if w in known else ids_of(w, lambda x: known[x] if x in known else here[x], space)  # noqa: B023
-                out.append(got)
-            names = [n for n in batch.schema.names if n not in ("text", "own", "__key")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.int32()))], names=[*names, "ids"])
+            for packed, own in zip(batch.column("packed").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                ids = np.frombuffer(press.decompress(packed), np.int32)
+                if own:
+                    own.sort(key=lambda x: x["place"])
+                    cut = [np.frombuffer(of.cut(x["word"], x["mask"]), np.int32) for x in own]
+                    begin = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+                    cut = np.concatenate(cut)
+                    hole = ids < 0
+                    which = np.where(hole, ~ids, 0)
+                    size = np.where(hole, begin[which + 1] - begin[which], 1)
+                    at = np.repeat(np.arange(len(ids)), size)
+                    inside = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+                    ids = np.where(hole[at], cut[np.minimum(begin[which[at]] + inside, len(cut) - 1)], ids[at])
+                out.append(ids)
+            sizes = np.cumsum([0, *map(len, out)])
+            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", hot: int = HOT) -> DataFrame:
+def _kept(docs: DataFrame, keep: tuple[str, ...], result: str) -> tuple[list[str], F.Column]:
+    """The columns to keep, and a struct of them under names of its own."""
+    names = [c for c in keep if c != result]
+    return names, F.struct(F.lit(0).cast("byte").alias("one"), *[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)]).alias("row")
+
+
+def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """A row for each document: the columns of `keep`, and ids (array<int>), the library's ids of the whole text."""
     spark = docs.sparkSession
     short_batches(spark)
     path = path or default_model()
-    folder, vocabulary = work_dir(spark, "pieces"), Vocabulary(path)
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = write_table(words, f"{folder}/words")
-    table = write_table(encode_words(words, path).join(words, "word"), f"{folder}/table")
-    frequent = table.where("n > 1").orderBy(F.desc("n"), "word").limit(hot)  # `hot` bounds what is broadcast
-    known = {r["word"]: _bytes_for(r["ids"], vocabulary.byte0) for r in frequent.select("word", "ids").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(known)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
-    # Rows are keyed by their content and id; equal rows share their words.
-    keyed = rows.withColumn("__key", F.xxhash64(*[F.col(c) for c in keep], "text"))
-    asked = keyed.select("__key", "text").mapInArrow(_rare(shared), "__key long, word string").repartition("word").distinct()
-    own = asked.join(table.select("word", "ids"), "word").groupBy("__key").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    out = keyed.join(own, "__key", "left").mapInArrow(_assemble(shared, vocabulary.byte0, vocabulary.space), f"{fields}, ids array<int>")
-    remove(spark, f"{folder}/words")
-    return out
+    known = spark.sparkContext.broadcast(dictionary(docs.select(F.col(text_col).alias("text")), path, hot, sample))
+    names, row = _kept(docs, keep, "ids")
+    rows = docs.select(row, F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    parts = rows.mapInArrow(_with_holes(known, path, kind), f"key long, place int, word string, row {kind}, packed binary")
+    # Documents and their unknown parts are dealt once; no grouping below needs another exchange.
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("key"))
+    cut = boundaries(dealt, ("key", "place"), path, "row", "packed")
+    own = F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "word", "mask"))).alias("own")
+    whole = cut.groupBy("key").agg(F.first("row", ignorenulls=True).alias("row"), F.first("packed", ignorenulls=True).alias("packed"), own)
+    out = whole.select("row", "packed", "own").mapInArrow(_filled(path), f"row {kind}, ids array<int>")
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "ids")
 
 
 def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep` and text, which the ids stand for."""
+    """The columns of `keep` and text, which the ids stand for: null ids and ids outside the vocabulary stand for nothing."""
     short_batches(encoded.sparkSession)
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = library(path)
+        of = vocabulary(path)
+        surfaces = of.surfaces()
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "ids"]
-            texts = [sp.decode(i) if i else "" for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
-
-    fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{fields}, text string")
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ids = lists.flatten().cast(pa.int64())
+            valid = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(surfaces))), False)
+            found = pc.fill_null(surfaces.take(pc.if_else(valid, ids, None)), b"")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found), b"")
+            texts = [t.decode("utf-8", "replace") for t in joined.to_pylist()]
+            texts = [t[1:] if t[:1] == " " else t for t in texts]  # the dummy space
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    names, row = _kept(encoded, keep, "text")
+    rows = encoded.select(row, F.col("ids").cast("array<int>").alias("ids"))
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "text")

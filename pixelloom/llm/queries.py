@@ -14,7 +14,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(read_table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """Encodes every text and decodes its ids again; round_trip: that gives the text, its piece spaces as spaces."""
+    docs = read_table(spark, sf_dir, "documents")
+    given = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" ")), 256)
+    encoded = pieces.encode(docs.withColumn("given", given), keep=("doc_id", "given"))
+    back = pieces.decode(encoded, keep=("doc_id", "given", "ids")).withColumn("decoded_sha256", F.sha2("text", 256))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("given")).alias("round_trip"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

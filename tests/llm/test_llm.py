@@ -67,6 +67,22 @@ def test_pieces(spark, texts):
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_pieces_without_dictionary(spark):
+    """Every part through the lattice; rows that are equal, kept columns named like inner ones, texts without spaces, parts beyond the mask, runs of spaces before unknown parts."""
+    sp = pieces.library(pieces.default_model())
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyzäéABC")
+    long = "".join(rng.choice(letters, 300_000))
+    texts = ["same text"] * 300 + [long, long, "日本語" * 500, "=" * 200, "x  " + "".join(rng.choice(letters, 20)), " " * 9 + "qzvx", "qzvx" + " " * 7, "".join(rng.choice(letters, 59)), "".join(rng.choice(letters, 62))]
+    rows = [(None if i % 3 else i, t, "k", "w", i, "ids") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, word string, row int, own string")
+    got = pieces.encode(df, keep=("doc_id", "key", "word", "row", "own", "text"), hot=0).collect()
+    assert len(got) == len(texts) and {r.row for r in got} == set(range(len(texts)))
+    assert all(list(r.ids) == sp.encode(texts[r.row]) and r.text == texts[r.row] and r.key == "k" and r.own == "ids" for r in got)
+    plain = spark.createDataFrame([(1, [5, 99999, None, -1, 300]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(plain).collect()} == {1: sp.decode([5, 300]), 2: "", 3: ""}
+
+
 # 3
 
 
