@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import shared_dir, ship
 
-#: Rows of one Arrow batch: whole texts may be long, so batches stay short.
-ARROW_ROWS = 256
+#: Rows and bytes of one Arrow batch: whole texts may be long, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
@@ -35,18 +35,22 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Before any Python stage: bounds the rows of an Arrow batch, so that long texts don't fill a worker's memory, and ships the package."""
+def short_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Before any Python stage: bounds the rows and bytes of an Arrow batch, so that long texts don't fill a worker's memory (one text over the bytes is a batch of its own), and ships the package. Spark reads both settings when a result is used, so they stay set; smaller ones are left as they are."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        now = int(now) if now.lstrip("-").isdigit() else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
 
 
 def bucket_of(id_col: str, k: int) -> Column:

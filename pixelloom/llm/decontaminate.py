@@ -7,10 +7,11 @@ match one and are left out, without loss). Every test suffix is then
 binary-searched in every shard. An interval of the array is the set of all
 places where the window occurs; windows that continue each other are joined
 to the longest verbatim match. No shuffle, no key, so neither copies nor hot
-sources matter. The benchmark is searched in blocks of bounded bytes.
+sources matter. The benchmark is searched in blocks of bounded bytes, of which a task
+holds one at a time.
 
-Defined results: null or wordless texts have 0 words and no match; null items
-and wordless items match nothing; equal items each count; repeated documents
+Defined results: null or wordless texts have 0 words and no match; items without a
+text and wordless items match nothing; items without an id match, without a name; equal items each count; repeated documents
 each get their row; an empty benchmark leaves all documents clean; other
 columns of either table are not read.
 """
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, hashed_words, mix, short_batches, text_column, word_hashes, word_spans
 
 WINDOW = 10
-#: Bytes of benchmark text that a block, which is broadcast, may hold.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that a block, which is broadcast, may hold; of texts that several blocks are searched in together.
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 64 << 20
 _MATCHES = "array<struct<item:string,doc_start:long,item_start:long,n_words:long>>"
 _MATCH_TYPE = pa.list_(pa.struct([("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())]))
 
@@ -38,7 +39,7 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window, self.names, self.words = window, [], []
         owner, begin, length, keys = [], [], [], []
         for name, text in items:
@@ -132,55 +133,74 @@ def _covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _search_block(block, final: bool):
+def _search_batch(batch: pa.RecordBatch, tests: TestSuffixes, found: list[list[dict]]) -> np.ndarray:
+    """Adds the matches of a block's items in each text of the batch; the texts' numbers of words."""
+    text = text_column(batch, "text")
+    n_words = np.zeros(batch.num_rows, np.int64)
+    for first, last, data, offsets in chunks(text):
+        s, e, doc = word_spans(data, offsets)
+        n_words[first:last] += np.bincount(doc, minlength=last - first)
+        if not len(s):
+            continue
+        h = word_hashes(data, s, e)
+        at, which = Shard(h, doc, tests).search(tests)
+        if not len(at):
+            continue
+        begin = np.searchsorted(doc, np.arange(last - first))
+        words: dict[int, list[bytes]] = {}
+        for d, item, where, start, size in zip(*(x.tolist() for x in _longest(at, which, doc, tests)), strict=True):
+            where -= int(begin[d])
+            if d not in words:
+                words = {d: hashed_words(text[first + d].as_py())[1]}
+            if words[d][where : where + size] == tests.words[item][start : start + size]:  # equal hashes are not proof
+                found[first + d].append({"item": tests.names[item], "doc_start": where, "item_start": start, "n_words": size})
+    return n_words
+
+
+def _search(blocks: list, held_bytes: int):
+    """One stage over the texts for all blocks: a task holds one block at a time, and `held_bytes` of texts (or one batch) that each block is searched in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(*block.value)
+        only = TestSuffixes(*blocks[0].value) if len(blocks) == 1 else None
+
+        def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: list[list[list[dict]]] = [[[] for _ in range(b.num_rows)] for b in held]
+            n_words = [np.zeros(b.num_rows, np.int64) for b in held]
+            for block in blocks:
+                tests = only or TestSuffixes(*block.value)
+                if only is None:
+                    vars(block).pop("_value", None)  # the next use reads the file again
+                n_words = [_search_batch(b, tests, f) for b, f in zip(held, found, strict=True)]
+            for batch, n, f in zip(held, n_words, found, strict=True):
+                hit = [_covered([(m["doc_start"], m["doc_start"] + m["n_words"]) for m in x]) for x in f]
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "matches": pa.array(f, _MATCH_TYPE), "n_words": pa.array(n), "n_hit": pa.array(hit, pa.int64())})
+
+        held, size = [], 0
         for batch in batches:
-            text = text_column(batch, "text")
-            n_words = np.zeros(batch.num_rows, np.int64)
-            found: list[list[dict]] = [x or [] for x in batch.column("matches").to_pylist()]
-            for first, last, data, offsets in chunks(text):
-                s, e, doc = word_spans(data, offsets)
-                n_words[first:last] += np.bincount(doc, minlength=last - first)
-                if not len(s):
-                    continue
-                h = word_hashes(data, s, e)
-                at, which = Shard(h, doc, tests).search(tests)
-                if not len(at):
-                    continue
-                begin = np.searchsorted(doc, np.arange(last - first))
-                words: dict[int, list[bytes]] = {}
-                for d, item, where, start, size in zip(*(x.tolist() for x in _longest(at, which, doc, tests)), strict=True):
-                    where -= int(begin[d])
-                    if d not in words:
-                        words = {d: hashed_words(text[first + d].as_py())[1]}
-                    if words[d][where : where + size] == tests.words[item][start : start + size]:  # equal hashes are not proof
-                        found[first + d].append({"item": tests.names[item], "doc_start": where, "item_start": start, "n_words": size})
-            out = {"id": batch.column("id"), "matches": pa.array(found, _MATCH_TYPE)}
-            if final:
-                hit = [_covered([(m["doc_start"], m["doc_start"] + m["n_words"]) for m in x]) for x in found]
-                out |= {"n_words": pa.array(n_words), "n_hit": pa.array(hit, pa.int64())}
-            else:
-                out["text"] = text
-            yield pa.RecordBatch.from_pydict(out)
+            held.append(batch)
+            size += batch.nbytes
+            if only is not None or size > held_bytes:
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
 
     return run
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """A row for each document: its id, n_words, n_hit (words in any occurring window) and matches, the longest verbatim matches with their places, in words."""
     spark = docs.sparkSession
     short_batches(spark)
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast(_MATCHES).alias("matches"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    blocks = []
     for b in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
-        block = spark.sparkContext.broadcast(([(str(r.i), r.t) for r in part.collect()], window))  # bounded by block_bytes
-        final = b == n_blocks - 1
-        out = out.mapInArrow(_search_block(block, final), f"id {kind}, matches {_MATCHES}, " + ("n_words long, n_hit long" if final else "text string"))
+        blocks.append(spark.sparkContext.broadcast(([(r.i, r.t) for r in part.collect()], window)))  # about block_bytes
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_search(blocks, held_bytes), f"id {kind}, matches {_MATCHES}, n_words long, n_hit long")
     return out.withColumnRenamed("id", id_col)
 
 

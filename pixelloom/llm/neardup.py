@@ -7,9 +7,10 @@ The inverted index therefore lists fingerprints under (half, three positional
 bytes), 8 postings each; a pair's shared positional bytes are tallied, pairs
 under 5 are let go, the rest verified bit by bit. A list longer than
 `group_rows` is split by two more of the 5 other positions (10 postings; two of
-them must agree as well) and, if still longer, dealt to blocks, of which every
-two meet in one group: no list is cut. Groups give only a spanning forest of
-their links, so large groups of near copies never become all pairs.
+them must agree as well) and, if still longer, by three of the 6 half-bytes that
+remain (20 postings; three flips leave three of them alike): 52 bits are then the same, so
+no list holds over 4096 fingerprints, and none is cut. Groups give only a
+spanning forest of their links, so large groups of near copies never become all pairs.
 
 Equal fingerprints are one node from the start. Components are found by
 alternating large-star and small-star rounds over written tables.
@@ -23,6 +24,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +103,25 @@ def _finer(postings: DataFrame) -> DataFrame:
     choices = []
     for t, which in enumerate(_triples()):
         rest = [i for i in range(8) if i not in which]
-        pairs = [(a, b) for k, a in enumerate(rest) for b in rest[k + 1 :]]
-        choices.append((t, F.array(*[_packed(p, [_byte(fp, a), _byte(fp, b)]) for p, (a, b) in enumerate(pairs)])))
+        choices.append((t, F.array(*[_packed(p, [_byte(fp, a), _byte(fp, b)]) for p, (a, b) in enumerate(combinations(rest, 2))])))
     subs = F.coalesce(*[F.when(tag == t, c) for t, c in choices])
     return postings.select("key", "fp", F.explode(subs).alias("sub"))
 
 
-def _forest(fps: np.ndarray, left: np.ndarray | None, max_bits: int, min_shared: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links in a group; with `left`, only between its two sides."""
+def _finest(finer: DataFrame) -> DataFrame:
+    """(key, sub, nibs, fp): a list's postings by three half-bytes that agree, of those that key and sub leave open."""
+    fp, tag, pair = F.col("fp"), F.shiftrightunsigned("key", 24), F.shiftrightunsigned("sub", 16)
+    choices = []
+    for t, which in enumerate(_triples()):
+        rest = [i for i in range(8) if i not in which]
+        for p, two in enumerate(combinations(rest, 2)):
+            open_ = [F.shiftrightunsigned(fp, 8 * i + 4 * half).bitwiseAND(F.lit(15)) for i in rest if i not in two for half in (0, 1)]
+            choices.append(F.when((tag == t) & (pair == p), F.array(*[_packed(n, [open_[a], open_[b], open_[c]]) for n, (a, b, c) in enumerate(combinations(range(6), 3))])))
+    return finer.select("key", "sub", "fp", F.explode(F.coalesce(*choices)).alias("nibs"))
+
+
+def _forest(fps: np.ndarray, max_bits: int, min_shared: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links in a group."""
     u = fps.view(np.uint64)
     n = len(u)
     parent = np.arange(n)
@@ -116,8 +129,6 @@ def _forest(fps: np.ndarray, left: np.ndarray | None, max_bits: int, min_shared:
     positions = np.ascontiguousarray(u).view(np.uint8).reshape(n, 8)
     for i in range(n - 1):
         to = np.arange(i + 1, n)
-        if left is not None:
-            to = to[left[to] != left[i]]
         to = to[parent[to] != parent[i]]
         if not len(to):
             continue
@@ -133,13 +144,12 @@ def _forest(fps: np.ndarray, left: np.ndarray | None, max_bits: int, min_shared:
     return out_a, out_b
 
 
-def _verify(max_bits: int, min_shared: int, sided: bool):
+def _verify(max_bits: int, min_shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            side = batch.column("side").to_pylist() if sided else [None] * batch.num_rows
-            for fps, left in zip(batch.column("fps"), side, strict=True):
-                x, y = _forest(np.array(fps.values, np.int64), None if left is None else np.array(left), max_bits, min_shared)
+            for fps in batch.column("fps"):
+                x, y = _forest(np.array(fps.values, np.int64), max_bits, min_shared)
                 a += x
                 b += y
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -153,23 +163,19 @@ def links(nodes: DataFrame, folder: str, max_bits: int = MAX_BITS, min_shared: i
     sizes = write_table(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/sizes")
     check = "a long, b long"
 
+    def verified(rows: DataFrame, key: list[str]) -> DataFrame:
+        return rows.groupBy(*key).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verify(max_bits, min_shared), check)
+
     def short(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
-        some = rows.join(counted.where(F.col("n") <= group_rows).select(*key), key)
-        return some.groupBy(*key).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verify(max_bits, min_shared, False), check)
+        return verified(rows.join(counted.where(F.col("n") <= group_rows).select(*key), key), key)
 
     found = [short(postings, sizes, ["key"])]
     if sizes.where(F.col("n") > group_rows).limit(1).count():
         finer = write_table(_finer(postings.join(sizes.where(F.col("n") > group_rows).select("key"), "key")), f"{folder}/finer")
         counted = finer.groupBy("key", "sub").agg(F.count("*").alias("n")).where("n > 1")
         found.append(short(finer, counted, ["key", "sub"]))
-        # What is longer still: blocks, of which every two meet once; those inside a block meet in the group of the block with itself.
-        rest = finer.join(counted.where(F.col("n") > group_rows).withColumn("blocks", F.ceil(F.col("n") / (group_rows // 2))), ["key", "sub"])
-        own = rest.withColumn("own", F.pmod(F.xxhash64("fp", "sub"), F.col("blocks")))
-        met = own.select("key", "sub", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-        groups = met.groupBy("key", "sub", "lo", "hi").agg(F.collect_list(F.struct("fp", "own")).alias("m"))
-        sides = groups.select(F.col("m.fp").alias("fps"), F.when(F.col("lo") != F.col("hi"), F.transform("m", lambda x: x["own"] == F.col("lo"))).alias("side"))
-        found.append(sides.mapInArrow(_verify(max_bits, min_shared, True), check))
+        # What is longer still: lists of 4096 at most.
+        found.append(verified(_finest(finer.join(counted.where(F.col("n") > group_rows).select("key", "sub"), ["key", "sub"])), ["key", "sub", "nibs"]))
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -179,7 +185,7 @@ def links(nodes: DataFrame, folder: str, max_bits: int = MAX_BITS, min_shared: i
 def connected_components(edges: DataFrame, folder: str, most_rounds: int = 40) -> DataFrame:
     """(node, root) of every node with an edge; root: the least node reachable. Alternating large-star and small-star rounds; each is written to the shared folder, so a lost executor costs a round at most."""
     spark = edges.sparkSession
-    now = write_table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v != u").distinct(), f"{folder}/cc0")
+    now = write_table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v != u").distinct(), f"{folder}/cc/0")
     mark = None
     for k in range(1, most_rounds + 1):
         both = now.select("v", "u").unionAll(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -187,9 +193,9 @@ def connected_components(edges: DataFrame, folder: str, most_rounds: int = 40) -
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionAll(least.select("v", F.col("m").alias("u"))).where("v != u").distinct()
-        now = write_table(small, f"{folder}/cc{k}")
+        now = write_table(small, f"{folder}/cc/{k}")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        remove(spark, f"{folder}/cc{k - 1}")
+        remove(spark, f"{folder}/cc/{k - 1}")
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
@@ -205,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = write_table(fps.groupBy("fp").agg(F.min("id").alias("rep")), f"{folder}/nodes")
     roots = connected_components(links(nodes, folder, max_bits, group_rows=group_rows), folder)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    named = write_table(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id"), f"{folder}/named")
+    remove(docs.sparkSession, *(f"{folder}/{x}" for x in ("nodes", "sizes", "finer", "cc")))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -6,15 +6,18 @@ either dictionary; the normalised difference of the two sizes, with their
 share of the text and the products of both, goes through a logistic calibration fitted on
 labelled documents that took no part in the dictionaries.
 
-The sample of labelled documents is bounded: `sample` documents of each class
-(the first by a hash of the id), half for the dictionaries, half for the
+The sample of labelled documents is bounded by two parameters: `sample`
+documents and `sample_bytes` bytes of text of each class (the first by a hash of
+the id; a text that goes over the bytes is left out). Half of them are for the
+dictionaries, which take `spread` blocks of a text at most, half for the
 calibration. Everything else reads every whole text.
 
 Defined results: null and empty texts get the score of a text without evidence
-(the calibration's intercept); with a class missing among the labels every score
-is 0.5; labels without a value are not read; a document labelled twice counts
-with its larger label; repeated documents each get their row; other columns are
-not read.
+(the calibration's intercept); with fewer than LEAST sampled documents of a class
+every score is 0.5; labels without a value are not read; a document labelled twice
+counts with its larger label; of rows that share a labelled id the one with the
+last text is learnt from; repeated documents each get their row; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -27,26 +30,35 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_column
+from .common import short_batches, text_column, work_dir, write_table
 
 BLOCK = 2048
 SAMPLE = 1500
 DICT_BYTES = 64 << 10
 LEVEL = 3
-#: Bytes of all sampled texts together; beyond that, fewer documents are sampled.
-SAMPLE_BYTES = 48 << 20
+#: Bytes of all sampled texts of a class, blocks of one text that a dictionary is made of, sampled documents of a class that learning needs.
+SAMPLE_BYTES, SPREAD, LEAST = 24 << 20, 3, 4
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, label, text, rank): at most `sample` documents of either class, the first by a hash of the id, of the rows that `use` admits."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & use).groupBy(id_col).agg(F.max(label_col).alias("label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, sample: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text, rank): at most `sample` documents and `sample_bytes` bytes of either class, the first by a hash of the id, of the rows that `use` admits (over the labels). Written, so that a later stage reads the sample alone."""
+    spark = docs.sparkSession
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & use).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     picked = None
     for value in (0, 1):
-        one = chosen.where(F.col("label") == value).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
+        one = chosen.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = one if picked is None else picked.unionAll(one)
-    picked = picked.withColumnRenamed(id_col, "__id")
     # At most 2 * sample ids: bounded, so broadcast.
-    return docs.join(F.broadcast(picked), docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), "label", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64("__id", F.lit(7)).alias("rank"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.max("text").alias("text")).withColumn("rank", F.xxhash64("id", F.lit(7)))
+    got = write_table(got, work_dir(spark, "sample"))
+    used, kept = {0: 0, 1: 0}, []
+    for r in got.select("id", "label", F.octet_length("text").alias("n")).orderBy("rank", "id").collect():  # 2 * sample rows
+        if used[r.label] + r.n <= sample_bytes:
+            used[r.label] += r.n
+            kept.append((r.id,))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return got.join(F.broadcast(spark.createDataFrame(kept, f"id {kind}")), "id")
 
 
 class Compressor:
@@ -75,10 +87,10 @@ class Compressor:
         return np.stack([diff, ratio, diff * diff, ratio * ratio, diff * ratio], axis=1)
 
 
-def build_dictionary(texts: list[str]) -> bytes:
+def build_dictionary(texts: list[str], spread: int = SPREAD) -> bytes:
     """A zstandard dictionary of the texts.
 
-    Each text gives at most three blocks, spread over it, and equal blocks count
+    Each text gives at most `spread` blocks from all over it, and equal blocks count
     once, so that a long text of one repeated word doesn't fill the dictionary.
     Where training still ends far below the size wanted, the dictionary's content is
     slices of all blocks alike.
@@ -87,8 +99,8 @@ def build_dictionary(texts: list[str]) -> bytes:
     for t in texts:
         raw = t.encode("utf-8", "replace")
         starts = range(0, len(raw), BLOCK)
-        for i in sorted({starts[0], starts[len(starts) // 2], starts[-1]}) if raw else ():
-            blocks[raw[i : i + BLOCK]] = None
+        for k in sorted({j * (len(starts) - 1) // max(spread - 1, 1) for j in range(spread)}) if raw else ():
+            blocks[raw[starts[k] : starts[k] + BLOCK]] = None
     try:
         trained = zstandard.train_dictionary(DICT_BYTES, list(blocks)).as_bytes()
     except zstandard.ZstdError:
@@ -133,18 +145,15 @@ class QualityModel:
         self.good, self.bad, self.weights = good, bad, weights
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    def fit(cls, docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, spread: int = SPREAD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+        """Trained on the driver, from the sample that `sample` and `sample_bytes` bound."""
         short_batches(docs.sparkSession)
-        got = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, sample, id_col, text_col)
-        rows, used = [], {0: 0, 1: 0}
-        for r in got.orderBy("rank", "id").toLocalIterator():
-            if used[r.label] + len(r.text) <= SAMPLE_BYTES // 2:
-                used[r.label] += len(r.text)
-                rows.append((r.label, r.text))
+        got = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, sample, sample_bytes, id_col, text_col)
+        rows = [(r.label, r.text) for r in got.orderBy("rank", "id").toLocalIterator()]
         part = {v: [t for label, t in rows if label == v] for v in (0, 1)}
-        if min(map(len, part.values())) < 4:
+        if min(map(len, part.values())) < LEAST:
             return cls()
-        good, bad = (build_dictionary(part[v][::2]) for v in (1, 0))
+        good, bad = (build_dictionary(part[v][::2], spread) for v in (1, 0))
         rest = [(v, t) for v in (0, 1) for t in part[v][1::2]]
         x = Compressor(good, bad).features([t for _, t in rest])
         return cls(good, bad, fit_logistic(x, np.array([v for v, _ in rest], np.float64)))

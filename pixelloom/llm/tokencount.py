@@ -10,8 +10,11 @@ digest, unless the text holds "<|", as the tokenizer looks for special strings
 in the raw text. For other tokenizers it must be switched off.
 
 Copies are dropped twice, in the task that reads them and in the one that
-encodes, so a text that a third of all rows repeat moves once per reading task. `fold` says that the tokenizer lower-cases
-and that white space only separates its tokens.
+encodes, so a text that a third of all rows repeat moves once per reading task. Back to
+the rows, the counts of digests that over 1 / HOT_SHARE of all rows share are
+broadcast (HOT_SHARE at most), so those rows don't meet in one task; all others are
+joined. `fold` says that the tokenizer lower-cases and that white space only separates
+its tokens.
 
 Defined results: null texts count as empty ones, 0 bytes and 0 tokens; repeated
 rows each get their row; an empty table gives an empty result and appends
@@ -28,11 +31,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, work_dir
+from .common import short_batches, work_dir, write_table
 
 OVER = 2048
 #: Pieces between white space whose counts a worker remembers, and the longest that it remembers.
 REMEMBERED, REMEMBERED_BYTES = 800_000, 64
+#: Digests that a task remembers, so as not to pass a text on twice; forgetting one costs an encoding, no result.
+SEEN = 1_000_000
+HOT_SHARE = 1000
 _TOKENIZERS: dict[tuple[str, bool], object] = {}
 
 
@@ -100,6 +106,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in batch.column("digest").to_pylist():
             keep.append(d not in seen)
             seen.add(d)
+        if len(seen) > SEEN:
+            seen = set()
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -124,6 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     content = normalised(text) if fold else text
     digest = F.unhex(F.sha2(content, 256))
     keyed = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
+    keyed = write_table(keyed, work_dir(spark, "digests"))
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
         known = spark.read.schema(fields).parquet(cache).where(F.col("tokenizer") == version)
@@ -135,7 +144,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     misses.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # A cache that two runs appended to at once may hold a digest twice, with the same count.
     known = spark.read.schema(fields).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = keyed.join(known, "digest")
+    often = keyed.groupBy("digest").agg(F.count("*").alias("rows")).where(F.col("rows") * HOT_SHARE > keyed.count())
+    hot = write_table(often.join(known, "digest").select("digest", F.col("n_tokens").alias("n_hot")), work_dir(spark, "hot-counts"))
+    marked = keyed.join(F.broadcast(hot), "digest", "left")  # HOT_SHARE rows at most
+    out = marked.where("n_hot IS NOT NULL").withColumnRenamed("n_hot", "n_tokens").unionByName(marked.where("n_hot IS NULL").drop("n_hot").join(known, "digest"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
 
 

@@ -3,11 +3,12 @@
 Features are the presence of a document's words, pairs of neighbours and pairs
 with one word between (A-Z lower-cased), hashed to 2**22 coordinates. Training
 has a learning rate of its own for each coordinate; L1 leaves few weights, so
-what is broadcast is small: at most `MAX_WEIGHTS` pairs of coordinate and weight.
+what is broadcast is small: 2**22 pairs of coordinate and weight bound it.
 
-Training reads a bounded sample: `sample` labelled documents of each class, the
-first by a hash of the id. It runs in one task, so a lost executor means that
-the task is run again. Scoring reads every whole text, without a shuffle.
+Training reads a sample that two parameters bound: `sample` labelled documents
+and `sample_bytes` bytes of text of each class, the first by a hash of the id (a text that
+goes over the bytes is left out). It runs in one task, so a lost executor means
+that the task is run again. Scoring reads every whole text, without a shuffle.
 
 Defined results: null and wordless texts score by the intercept; with a class
 missing among the labels every score is 0.5;
@@ -28,9 +29,8 @@ from .common import chunks, mix, short_batches, text_column, utf8, word_hashes,
 from .quality import labelled_sample
 
 BITS = 22
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 EPOCHS = 4
-MAX_WEIGHTS = 1 << 20
 ALPHA, BETA, L2 = 1.0, 1.0, 0.1
 #: L1 grows with the positive documents learnt from, between these.
 L1_LEAST, L1_MOST, L1_DOCS = 1.0, 8.0, 400
@@ -89,9 +89,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
     at = np.flatnonzero(np.abs(model.z) > model.l1)
     at = at[at < 1 << BITS]
     w = model.weights(at)
-    if len(at) > MAX_WEIGHTS:
-        keep = np.sort(np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS])
-        at, w = at[keep], w[keep]
     return at, w, float(model.weights(np.array([1 << BITS]))[0])
 
 
@@ -102,9 +99,9 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1), pa.int64()), "w": pa.array(np.append(w, bias), pa.float64())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     short_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, sample, id_col, text_col)
+    rows = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, sample, sample_bytes, id_col, text_col)
     got = rows.select("rank", "id", F.col("label").cast("int").alias("label"), "text").repartition(1).mapInArrow(_trainer, "at long, w double").toPandas().sort_values("at")
     if not len(got):
         return np.zeros(0, np.int64), np.zeros(0), 0.0
@@ -115,7 +112,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     """(id, score) of each document."""
     spark = docs.sparkSession
     short_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # MAX_WEIGHTS pairs at most
+    shared = spark.sparkContext.broadcast(model)  # 2**BITS pairs at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, weights, bias = shared.value

@@ -90,7 +90,7 @@ def brute_viterbi(model, seen):
     best = [(0.0, ())]
     import itertools
 
-    best = max(((sum(model.matrix(s, i == 0)[p[i - 1] if i else 0, p[i]] for i, s in enumerate(seen)), tuple(-x for x in p)) for p in itertools.product(range(3), repeat=len(seen))))
+    best = max(((sum(model.matrix(s)[p[i - 1] if i else 3, p[i]] for i, s in enumerate(seen)), tuple(-x for x in p)) for p in itertools.product(range(3), repeat=len(seen))))
     return [-x for x in best[1]]
 
 
@@ -120,6 +120,27 @@ def test_roles_on_tables(spark):
     assert chat.recover_roles(odd, chat.fit(odd)).count() == 3
 
 
+def test_markers(spark):
+    """Only a marker goes: a name with a colon, in brackets, or as a heading."""
+    says = {
+        "User: hi": "hi", "[assistant] x": "x", "**System:** y": "y", "**User**: z": "z", "### Human\nhello": "hello", "Q: what?": "what?", "<|assistant|>": "<|assistant|>",
+        "AI-driven design": None, "User-friendly apps": None, "a > b holds": None, "(a) first": None, "<a> link": None, "# Userland": None, "### assistant hello": None, "answer the question": None, "Bots: many": None,
+    }
+    df = spark.createDataFrame([(i, 0, t, "user") for i, t in enumerate(says)], "conv_id long, turn long, text string, role string")
+    got = {r.conv_id: r.rendered.split("|>\n", 1)[1].rsplit("\n<|end|>", 1)[0] for r in chat.recover_roles(df, chat.fit(df)).collect()}
+    assert [got[i] for i in range(len(says))] == [v or k for k, v in says.items()]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_start_of_conversations(spark, block):
+    """The first row starts a conversation, whatever its number; equal rows without an id are dealt to several tasks."""
+    model = chat.Model(np.log([0.01, 0.98, 0.01]), np.log([[0.1, 0.1, 0.8], [0.1, 0.1, 0.8], [0.1, 0.8, 0.1]]), {}, np.log([1 / 3] * 3))
+    rows = [(1, t, "x", "user") for t in (5, 6, 7)] + [(None, None, "same", "user")] * 40
+    got = chat.recover_roles(spark.createDataFrame(rows, "conv_id long, turn long, text string, role string"), model, block=block).collect()
+    assert [r.role for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.turn)] == ["user", "assistant", "user"]
+    assert Counter(r.role for r in got if r.conv_id is None) == {"user": 20, "assistant": 20}
+
+
 # 4 and 7
 
 
@@ -344,10 +365,33 @@ def test_search_goes_on_until_settled(spark, tmp_path, monkeypatch):
     first = halves.orderBy(F.xxhash64("id"), "id").first().id
     far = 0 if first >= 18 else 35
     ask = halves.where(F.col("id") == far).selectExpr("-1L AS query", "half", "cast(null AS long) AS start")
-    found = ann.greedy_search(ask, halves, edges, str(tmp_path / "a"), 2, beam=4, expand=1)
+    graph = ann.search_graph(halves, edges, str(tmp_path / "a"))
+    found = ann.greedy_search(ask, halves, graph, str(tmp_path / "a"), 2, lambda now: True, beam=2)
     assert found.first().ids[0] == far  # eighteen steps away at least
     with pytest.raises(RuntimeError):
-        ann.greedy_search(ask, halves, edges, str(tmp_path / "b"), 2, beam=4, expand=1, most_rounds=2)
+        ann.greedy_search(ask, halves, graph, str(tmp_path / "b"), 2, lambda now: True, beam=2, most_rounds=2)
+
+
+def test_narrow_beam_finds_neighbours(spark, tmp_path):
+    """The graph does the work: a beam of a fortieth of the table, not widened."""
+    v = np.random.default_rng(4).standard_normal((2000, 8))
+    classes = spark.createDataFrame([(i, v[i].tolist()) for i in range(2000)], "id long, v array<double>")
+    ann.short_batches(spark)
+    halves, edges = ann.build_graph(classes, str(tmp_path / "g"), 8, 2000, k=12)
+    asked = halves.where("id % 50 = 0").selectExpr("id AS query", "half", "id AS start")
+    graph = ann.search_graph(halves, edges, str(tmp_path / "g"))
+    found = ann.greedy_search(asked, halves, graph, str(tmp_path / "g"), 8, lambda now: True, beam=50).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T - 9 * np.eye(2000)
+    hit = sum(len(set(np.argsort(-sims[q])[:5]) & set(x for x in ids if x != q)) for q, ids in zip(found["query"], found["ids"], strict=True))
+    assert len(found) == 40 and hit >= 0.9 * 5 * 40
+    assert edges.groupBy("node").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in (9, 3, 7, 5, 8, 1, 2)] + [(0, [1.0, 1.0]), (4, [0.0, 2.0]), (6, [0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").isin(0, 9)).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got)] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (0, 5, 5), (9, 1, 1), (9, 2, 2), (9, 3, 3), (9, 4, 5), (9, 5, 7)]
 
 
 def test_beam_grows_until_recall_is_met(spark):
@@ -357,7 +401,7 @@ def test_beam_grows_until_recall_is_met(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     sims = u @ u.T - 9 * np.eye(900)
     hit = sum(len(set(np.argsort(-sims[q])[:5]) & set(part.vec_id)) for q, part in got.groupby("query_id"))
-    assert hit >= 0.95 * 5 * 30
+    assert hit >= ann.RECALL * 5 * 30
 
 
 # The pipeline
@@ -406,3 +450,103 @@ def test_oracle_of_decontamination(spark):
     cur = con.execute(queries.SQL["op6_decontamination"])
     cols = [c[0] for c in cur.description]
     assert sorted(map(tuple, queries.op6_decontamination(spark, SF).select(*cols).collect())) == sorted(cur.fetchall())
+
+
+# Odd tables
+
+
+def odd_documents(spark):
+    """Repeated rows, null ids with several texts, and extra columns named like inner ones."""
+    rows = [(1, "the same words again and again and again"), (1, "the same words again and again and again"), (2, None), (None, "one text without an id"), (None, "another text without an id"), (None, None), (3, "")]
+    names = "label", "own", "rank", "score", "word", "key", "matches", "digest", "licence", "n_tokens", "fp", "component_id", "held_out"
+    return spark.createDataFrame([(*r, *["clash"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)), rows
+
+
+def test_odd_documents(spark):
+    df, rows = odd_documents(spark)
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "x") for i in range(4)] + [(None, 1, 1, "x"), (1, None, None, "x")], "doc_id long, quality int, toxic int, text string")
+    many = [(i, f"good words number {i} are fine here" if i % 2 else f"bad noise {i} $$$ ###", "clash") for i in range(40)]
+    train, marks = spark.createDataFrame(many, "doc_id long, text string, label string"), spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for learnt in (quality.QualityModel.fit(train, marks), quality.QualityModel.fit(df, labels)):
+        scores = quality.score(df, learnt).collect()
+        assert len(scores) == 7 and all(0 <= r.score <= 1 for r in scores)
+        assert quality.keep_good(df, learnt).columns == df.columns
+    for learnt in (toxicity.fit(train, marks), toxicity.fit(df, labels)):
+        assert len(toxicity.score(df, learnt).collect()) == 7
+    counts = tokencount.count_tokens(df, tokencount.default_tokenizer()).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in counts) == sorted((i or 0, len((t or "").encode())) for i, t in rows)
+    assert licenses.scan(df).count() == 7 and pii.scan(df).count() == 7
+    assert pieces.encode(df, keep=("doc_id", "label", "own", "word")).columns == ["doc_id", "label", "own", "word", "ids"]
+    near = neardup.near_duplicates(df).collect()
+    assert len(near) == 7 and {r.component_id for r in near if r.doc_id == 1} == {1}
+    bench = spark.createDataFrame([(None, "words again and again and again and again and again"), ("b", "without an id"), ("c", None), (None, None)], "item_id string, text string")
+    found = decontaminate.find_matches(df, bench).collect()
+    assert sorted(r.n_hit for r in found) == [0, 0, 0, 0, 0, 3, 3] and {m.item for r in found for m in r["matches"]} == {"b"}
+
+
+def test_unnamed_items(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    found = decontaminate.find_matches(docs(spark, [text, "clean"]), spark.createDataFrame([(None, text), ("b", " ".join(text.split()[5:16]))], "item_id string, text string"))
+    assert {(m.item, m.n_words) for r in found.collect() for m in r["matches"]} == {(None, 30), ("b", 11)}
+    whole = {r.doc_id: (r.n_words, r.n_hit) for r in found.collect()}
+    for block_bytes, held in ((1, 1 << 20), (40, 1)):  # many blocks, and a buffer of one batch
+        items = spark.createDataFrame([(f"i{k}", " ".join(text.split()[k : k + 12])) for k in range(0, 19, 3)], "item_id string, text string")
+        parts = decontaminate.find_matches(docs(spark, [text, "clean"]), items, block_bytes=block_bytes, held_bytes=held).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit) for r in parts} == whole
+
+
+def test_hot_keys(spark):
+    """One text of nine rows in ten, by way of the counts that are broadcast and of those that are joined."""
+    texts = ["the hot text"] * 900 + [f"rare text {i}" for i in range(1500)]
+    got = by_id(tokencount.count_tokens(docs(spark, texts), tokencount.default_tokenizer()))
+    assert len(got) == 2400 and {r.n_tokens for i, r in got.items() if i < 900} == {3}
+
+
+def test_long_lists_of_fingerprints(spark, tmp_path):
+    """Lists that every split leaves too long: the last one's bound them."""
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(1, 2**62))
+    fps = sorted({base ^ int(sum(1 << int(b) for b in rng.choice(12, rng.integers(0, 4), replace=False))) for _ in range(400)})
+    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    neardup.short_batches(spark)
+    links = neardup.links(nodes, str(tmp_path / "l"), group_rows=4)
+    roots = {r.node: r.root for r in neardup.connected_components(links, str(tmp_path / "l")).collect()}
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {f: roots.get(f, f) for f in fps} == {f: root(f) for f in fps}
+
+
+def test_wrapped_and_commented_licences(spark):
+    import textwrap
+
+    texts = dict((k, t) for k, t in licenses.KNOWN if len(t) > 400)
+    made, want = [], []
+    for name, text in texts.items():
+        for width in (40, 55, 61, 68, 79):
+            body = "\n".join(textwrap.fill(p, width) for p in text.split("\n"))
+            for mark in ("", " * ", "// ", "# "):
+                head = ["Copyright (c) 2020 Jane Doe", "Copyright Jane Doe and others", "© 2019 X", "All rights reserved."]
+                made.append("\n".join(mark + x for x in [*head, *body.split("\n")]))
+                want.append(name)
+    got = by_id(licenses.scan(docs(spark, made)))
+    assert [got[i].licence for i in range(len(made))] == want
+    other = spark.createDataFrame([("Own-1.0", "You may do what you like with this."), (None, "x"), ("y", None)], "licence string, text string")
+    assert by_id(licenses.scan(docs(spark, ["YOU MAY DO -- what you like, with this!"]), more=other))[0].licence == "Own-1.0"
+
+
+def test_long_licences(spark):
+    """Whole texts that this machine carries, where it does."""
+    from pathlib import Path
+
+    have = {k: p.read_text(errors="replace") for k, p in (("GPL-3.0", Path("/usr/share/common-licenses/GPL-3")), ("Apache-2.0", Path("/usr/share/common-licenses/Apache-2.0")), ("MPL-2.0", Path("/usr/share/common-licenses/MPL-2.0"))) if p.exists()}
+    got = by_id(licenses.scan(docs(spark, list(have.values()))))
+    assert [got[i].licence for i in range(len(have))] == list(have)
