@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,9 +15,11 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; where it is unset (tests), a fresh one, which is then the checkpoint folder."""
+    """The folder that driver and executors share, as the session names it. Where it is unset, a fresh one if everything runs in this process (tests), which is then the checkpoint folder; an error on a cluster, whose machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pixelloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
