@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept; what it returns is written as Parquet and read again by the next.
-All but the last return the columns of `documents`.
+All but the last return the columns of `documents`, and any others that it has.
+
+Defined results, of every stage: an empty table gives an empty one; null and empty
+texts are scored by the intercept (quality), are near copies of each other (neardup;
+those without an id all stay), are clean (decontamination), stay as they are (personal data)
+and have no pieces (encoding); equal rows with an id are one document from near-dedup on,
+those without an id all stay; of copies the least doc_id stays; very long texts are
+read whole. Without labels every document scores 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import decontaminate, neardup, pieces, pii, quality
-from pixelloom.llm.common import bucket_of, read_table, work_dir
+from pixelloom.llm.common import bucket_of, read_table, remove, work_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; a stage's table goes when the next one's is written."""
     docs, folder = read_table(spark, sf_dir, "documents"), work_dir(spark, "corpus")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.mode("overwrite").parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
