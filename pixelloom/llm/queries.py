@@ -61,7 +61,8 @@ def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(read_table(spark, sf_dir, "documents")).drop("found")
+    """found: the spans as JSON, with the scores that checksums and context give them."""
+    return pii.scan(read_table(spark, sf_dir, "documents")).withColumn("found", F.to_json("found"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

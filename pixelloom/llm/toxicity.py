@@ -31,9 +31,7 @@ from .quality import labelled_sample
 BITS = 22
 SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 EPOCHS = 4
-ALPHA, BETA, L2 = 1.0, 1.0, 0.1
-#: L1 grows with the positive documents learnt from, between these.
-L1_LEAST, L1_MOST, L1_DOCS = 1.0, 8.0, 400
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: What a positive document weighs.
 POSITIVE = 2.0
 
@@ -54,7 +52,7 @@ def grams(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates (McMahan et al., 2013), over presence features; the last coordinate is the intercept, without L1."""
 
-    def __init__(self, l1: float, size: int = (1 << BITS) + 1):
+    def __init__(self, l1: float = L1, size: int = (1 << BITS) + 1):
         self.l1, self.z, self.n = l1, np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
@@ -82,7 +80,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
         order = np.argsort(of, kind="stable")
         cut = np.searchsorted(of[order], np.arange(len(offsets)))
         found += [np.append(np.unique(at[order[a:b]]).astype(np.int64), 1 << BITS) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    model, rng = Ftrl(float(np.clip(L1_MOST * y.sum() / L1_DOCS, L1_LEAST, L1_MOST))), np.random.default_rng(7)
+    model, rng = Ftrl(), np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(found)):
             model.learn(found[i], y[i], POSITIVE if y[i] else 1.0)
