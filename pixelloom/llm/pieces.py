@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
 A text is cut into words (leading white space, as the piece alphabet writes it,
-and what follows up to the next), and words into parts wherever no piece of the
-vocabulary holds the two characters on either side: no merge reaches over such a
-place. Of each part all substrings of at most the longest piece's length are
+and a run of characters that pieces join to letters, or of others), and words into
+parts wherever no piece of the vocabulary holds the two characters on either side: no
+merge reaches over such a place. Of each part all substrings of at most the longest piece's length are
 exploded and equi-joined to the piece table, which the vocabulary file bounds.
 The edges that join are grouped by part and folded with Spark's higher-order
 `aggregate` into a bit mask of the boundaries that stand in the end.
@@ -59,10 +59,9 @@ MAX_PART = 60
 #: Parts of the broadcast dictionary, and documents that it is made of.
 HOT, SAMPLE = 500_000, 50_000
 #: Distinct words that a counting task holds before it passes its counts on, and words that an encoding one remembers.
-HELD, REMEMBERED = 200_000, 300_000
+HELD, REMEMBERED = 200_000, 200_000
 #: Words of a text that are handled at once.
 RUN = 1 << 18
-_SPLIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, object] = {}
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
@@ -79,19 +78,6 @@ def library(path: str):
     return _MODELS[path]
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """The words of a text, in order, RUN at a time: white space is written as pieces write it, a dummy space goes before the text."""
-    if not text:
-        return
-    marked = SPACE + text.replace(" ", SPACE)
-    if len(marked) <= RUN:
-        yield _SPLIT.findall(marked)
-        return
-    found = (m.group() for m in _SPLIT.finditer(marked))
-    while some := list(islice(found, RUN)):
-        yield some
-
-
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
@@ -112,6 +98,30 @@ class Vocabulary:
         if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p, re.S) for p in self.ids) or self.longest > 31 or len(ranks) > 1 << 20:
             raise ValueError("a piece reaches over words, or the vocabulary is too large for packed edges")
         self._dummy = len(sp.encode("\n"))
+        # The characters that pieces join to "e", in any number of steps: no piece holds one of them and one of the others, but for the space.
+        letters, todo = {"e"}, ["e"]
+        beside: dict[str, set[str]] = {}
+        for a, b in self.pairs:
+            beside.setdefault(a, set()).add(b)
+            beside.setdefault(b, set()).add(a)
+        while todo:
+            for c in beside.get(todo.pop(), set()) - letters - {SPACE, "\n"}:
+                letters.add(c)
+                todo.append(c)
+        of_word = "".join(map(re.escape, sorted(letters)))
+        self._split = re.compile(f"{SPACE}*[{of_word}]+|{SPACE}*[^{of_word}{SPACE}\n]+|{SPACE}+|\n")
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, in order, RUN at a time: white space is written as pieces write it, a dummy space goes before the text."""
+        if not text:
+            return
+        marked = SPACE + text.replace(" ", SPACE)
+        if len(marked) <= RUN:
+            yield self._split.findall(marked)
+            return
+        found = (m.group() for m in self._split.finditer(marked))
+        while some := list(islice(found, RUN)):
+            yield some
 
     def parts(self, word: str) -> list[str]:
         """The word, cut where no piece can reach over."""
@@ -124,13 +134,18 @@ class Vocabulary:
             return _packed(self.model.encode(word[1:].replace(SPACE, " ")))
         return _packed(self.model.encode("\n" + word.replace(SPACE, " "))[self._dummy :])
 
-    def cut(self, part: str, mask: int) -> bytes:
+    def cut(self, part: str, mask: int) -> list[int]:
         """The ids of a part, of which the mask tells the boundaries."""
-        at = [k for k in range(len(part) + 1) if mask >> k & 1]
-        return b"".join(self.piece(part[a:b]) for a, b in zip(at, at[1:], strict=False))
+        out, a = [], 0
+        for b in range(1, len(part) + 1):
+            if mask >> b & 1:
+                found = self.ids.get(part[a:b])
+                out += self.piece(part[a:b]) if found is None else (found,)
+                a = b
+        return out
 
-    def piece(self, piece: str) -> bytes:
-        return _packed([self.ids[piece]] if piece in self.ids else [self.byte0 + b for b in piece.encode()])
+    def piece(self, piece: str) -> list[int]:
+        return [self.ids[piece]] if piece in self.ids else [self.byte0 + b for b in piece.encode()]
 
     def surfaces(self) -> pa.Array:
         """What each id stands for, as bytes."""
@@ -149,16 +164,17 @@ def in_lattice(part: str) -> bool:
 
 
 class Words(dict):
-    """Word → its ids as bytes, or, of one with parts that are not known, a list of bytes and those parts."""
+    """Word → its ids as bytes, or, of one with parts that are not known, a list of bytes and those parts. Holds the known parts and, up to a number, words made of them."""
 
     def __init__(self, known: dict[str, bytes], path: str):
-        super().__init__()
+        super().__init__(known)
         self.known, self.of = known, vocabulary(path)
         self.single = {}
 
     def __missing__(self, word: str) -> bytes | list[bytes | str]:
-        if len(self) > REMEMBERED:
+        if len(self) > len(self.known) + REMEMBERED:
             self.clear()
+            self.update(self.known)
         found = self.behind(word) if word[:2] == SPACE * 2 else self.joined(word)
         if type(found) is bytes:
             self[word] = found
@@ -170,7 +186,7 @@ class Words(dict):
 
     def part(self, part: str) -> bytes | str:
         if len(part) == 1:
-            return self.single.get(part) or self.single.setdefault(part, self.of.piece(part))
+            return self.single.get(part) or self.single.setdefault(part, _packed(self.of.piece(part)))
         return self.known.get(part) or (part if in_lattice(part) else self.of.by_library(part))
 
     def behind(self, word: str) -> bytes | list[bytes | str]:
@@ -203,7 +219,7 @@ def _counts(path: str):
 
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                for words in words_of(t):
+                for words in of.words(t or ""):
                     held.update(words)
                     if len(held) > HELD:
                         yield out()
@@ -241,7 +257,7 @@ def dictionary(docs: DataFrame, path: str, hot: int, sample: int) -> dict[str, b
     dealt = frequent.select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("word"))
     of = vocabulary(path)
     cut = boundaries(dealt.withColumn("key", F.col("word")), ("key",), path).select("word", "mask")
-    return {r["word"]: of.cut(r["word"], r["mask"]) for r in cut.toLocalIterator()}  # `hot` rows
+    return {r["word"]: _packed(of.cut(r["word"], r["mask"])) for r in cut.toLocalIterator()}  # `hot` rows
 
 
 _WORKERS: dict[object, Words] = {}
@@ -261,14 +277,17 @@ def _with_holes(known, path: str, kind: str):
             first = key
             for t in batch.column("text").to_pylist():
                 own: dict[str, int] = {}
+
+                def holes(x: list[bytes | str], own: dict[str, int] = own) -> bytes:
+                    return b"".join([p if type(p) is bytes else (~own.setdefault(p, len(own))).to_bytes(4, "little", signed=True) for p in x])
+
                 out = []
-                for some in words_of(t):
+                for some in words.of.words(t or ""):
                     found = list(map(words.__getitem__, some))
                     try:
                         out.append(b"".join(found))
                     except TypeError:
-                        for x in found:
-                            out += [x] if type(x) is bytes else [p if type(p) is bytes else (~own.setdefault(p, len(own))).to_bytes(4, "little", signed=True) for p in x]
+                        out.append(b"".join([x if type(x) is bytes else holes(x) for x in found]))
                 packed.append(press.compress(b"".join(out)))
                 keys += [key] * len(own)
                 places += range(len(own))
@@ -285,27 +304,33 @@ def _with_holes(known, path: str, kind: str):
 
 
 def _filled(path: str):
+    """Rows with their packed ids and their unknown parts → row, ids: all holes of a batch at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, press = vocabulary(path), zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for packed, own in zip(batch.column("packed").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                ids = np.frombuffer(press.decompress(packed), np.int32)
-                if own:
-                    own.sort(key=lambda x: x["place"])
-                    cut = [np.frombuffer(of.cut(x["word"], x["mask"]), np.int32) for x in own]
-                    begin = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
-                    cut = np.concatenate(cut)
-                    hole = ids < 0
-                    which = np.where(hole, ~ids, 0)
-                    size = np.where(hole, begin[which + 1] - begin[which], 1)
-                    at = np.repeat(np.arange(len(ids)), size)
-                    inside = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-                    ids = np.where(hole[at], cut[np.minimum(begin[which[at]] + inside, len(cut) - 1)], ids[at])
-                out.append(ids)
-            sizes = np.cumsum([0, *map(len, out)])
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", "ids"])
+            docs = [np.frombuffer(press.decompress(p), np.int32) for p in batch.column("packed").to_pylist()]
+            ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+            doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+            lists = batch.column("own")
+            place, word, mask = lists.flatten().flatten()
+            sizes = pc.list_value_length(lists).to_numpy()
+            first = np.cumsum(sizes) - sizes  # of each document's parts
+            slot = np.repeat(first, sizes) + place.to_numpy()
+            cuts: list[list[int]] = [[]] * len(slot)
+            for k, w, m in zip(slot.tolist(), word.to_pylist(), mask.to_pylist(), strict=True):
+                cuts[k] = of.cut(w, m)
+            long = np.array([*map(len, cuts), 1])  # last: what is no hole
+            flat = np.array([i for c in cuts for i in c], np.int32)
+            begin = np.cumsum(long) - long
+            hole = np.where(ids < 0, first[doc] + ~ids if len(doc) else 0, len(cuts))
+            at = np.repeat(np.arange(len(ids)), long[hole])
+            inside = np.arange(len(at)) - np.repeat(np.cumsum(long[hole]) - long[hole], long[hole])
+            out = ids[at]
+            filled = hole[at] < len(cuts)
+            out[filled] = flat[(begin[hole[at]] + inside)[filled]]
+            ends = np.searchsorted(doc[at], np.arange(len(docs) + 1)) if len(docs) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], names=["row", "ids"])
 
     return run
 
@@ -341,18 +366,25 @@ def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] =
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = vocabulary(path)
-        surfaces = of.surfaces()
+        surfaces = vocabulary(path).surfaces()
+        n = len(surfaces)
+        # A text's first piece without its space, the dummy, comes from the second half.
+        both = pa.concat_arrays([surfaces, pa.array([t[1:] if t[:1] == b" " else t for t in surfaces.to_pylist()], pa.binary())])
         for batch in batches:
             lists = batch.column("ids")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             ids = lists.flatten().cast(pa.int64())
-            valid = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(surfaces))), False)
-            found = pc.fill_null(surfaces.take(pc.if_else(valid, ids, None)), b"")
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found), b"")
-            texts = [t.decode("utf-8", "replace") for t in joined.to_pylist()]
-            texts = [t[1:] if t[:1] == " " else t for t in texts]  # the dummy space
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+            valid = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, n)), False).to_numpy(zero_copy_only=False)
+            ids, doc = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[valid], np.repeat(np.arange(len(sizes)), sizes)[valid]
+            begin = np.searchsorted(doc, np.arange(len(sizes) + 1))
+            ids = ids.copy()
+            ids[begin[:-1][begin[:-1] < begin[1:]]] += n
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), both.take(pa.array(ids))), b"")
+            try:
+                texts = joined.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no characters
+                texts = pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts], names=["row", "text"])
 
     names, row = _kept(encoded, keep, "text")
     rows = encoded.select(row, F.col("ids").cast("array<int>").alias("ids"))
