@@ -148,6 +148,11 @@ def guess_text() -> str:
     return "(CASE WHEN type = 'button' THEN '[button]' WHEN type = 'input' THEN '[input]' WHEN type = 'text_block' THEN '[text]' WHEN w > 3 * h THEN '[text line]' ELSE '[block]' END)"
 
 
+def was_read(words: str) -> str:
+    """Whether a text is one that an engine has read, not a placeholder."""
+    return f"({words} NOT LIKE '[%')"
+
+
 def is_placeholder() -> str:
     return "(type = 'text_block' OR (h BETWEEN 14 AND 40 AND w > 30 AND w < 600))"
 

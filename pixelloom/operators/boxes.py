@@ -2,8 +2,9 @@
 
 Each function gives the SQL of an operator over a source (a table, view or
 subquery). Everything is keyed by image_id, so each plan has one exchange on it;
-folds are higher-order aggregates over one screen's boxes, of which a detection
-keeps 60 at most.
+folds are higher-order aggregates over one screen's boxes. A detection gives 40
+boxes at most and a screen 60; the fold before that cap sees all components of a
+screen that pass the filter, which lets none through under a 20000th of the canvas.
 """
 
 from __future__ import annotations
@@ -58,48 +59,78 @@ def overlaps(d: Dialect, source: str) -> str:
     return f"SELECT a.image_id, a.k AS k_a, b.k AS k_b, round({T.iou('a.', 'b.')}, 6) AS iou FROM {source} a JOIN {source} b ON a.image_id = b.image_id AND a.k < b.k WHERE {T.inter('a.', 'b.')} > 0"
 
 
-def matched(d: Dialect, a: str, b: str, percent: int = 50) -> str:
-    """Greedy one-to-one matches in order of k on both sides: (image_id, a, b), b null where nothing is left over the threshold."""
-    fields = ("k", "x", "y", "w", "h")
-    left = f"SELECT image_id, {_sorted_list(d, *fields)} AS xs FROM {a} GROUP BY image_id"
-    right = f"SELECT image_id, {_sorted_list(d, *fields)} AS ys FROM {b} GROUP BY image_id"
-    both = f"SELECT l.image_id, xs, ys FROM ({left}) l LEFT JOIN ({right}) r ON l.image_id = r.image_id"
+_SIDE = ("k", "type", "x", "y", "w", "h", "color")
+
+
+def pairs(d: Dialect, a: str, b: str, percent: int = 50) -> str:
+    """Greedy one-to-one matches of the boxes of a and b in order of k on both sides: (image_id, a_k, a_type, ..., b_k, ...); a's part is null for boxes of b without a match, and the other way round. Each side is read and grouped once."""
+    left = f"SELECT image_id, {_sorted_list(d, *_SIDE)} AS xs FROM {a} GROUP BY image_id"
+    right = f"SELECT image_id, {_sorted_list(d, *_SIDE)} AS ys FROM {b} GROUP BY image_id"
+    both = f"SELECT coalesce(l.image_id, r.image_id) AS image_id, xs, ys FROM ({left}) l FULL OUTER JOIN ({right}) r ON l.image_id = r.image_id"
+    names = ", ".join(f"{side}.{f} AS {side}_{f}" for side in "ab" for f in _SIDE)
     if d.name == "spark":
-        free = f"filter(coalesce(ys, slice(xs, 1, 0)), b -> {T.iou_over('a.', 'b.', percent)} AND NOT exists(acc, m -> coalesce(m.b = b.k, false)))"
-        fold = f"aggregate(xs, cast(array() AS array<struct<a: bigint, b: bigint>>), (acc, a) -> array_append(acc, named_struct('a', a.k, 'b', get({free}, 0).k)))"
-        return f"SELECT image_id, m.a AS a, m.b AS b FROM (SELECT image_id, explode({fold}) AS m FROM ({both}) z)"
-    wide = "list_transform(xs, lambda s: [{'k': s.k, 'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h, 'b': CAST(NULL AS BIGINT)}])"
-    empty = "[[{'k': CAST(-1 AS BIGINT), 'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 'w': CAST(0 AS BIGINT), 'h': CAST(0 AS BIGINT), 'b': CAST(-1 AS BIGINT)}]]"
-    free = f"list_filter(coalesce(ys, []), lambda b: {T.iou_over('a[1].', 'b.', percent)} AND len(list_filter(acc, lambda m: m.b = b.k)) = 0)[1].k"
-    fold = f"list_reduce(list_concat({empty}, {wide}), lambda acc, a: list_concat(acc, [{{'k': a[1].k, 'x': a[1].x, 'y': a[1].y, 'w': a[1].w, 'h': a[1].h, 'b': {free}}}]))"
-    return f"SELECT image_id, m.k AS a, m.b AS b FROM (SELECT image_id, unnest({fold}[2:]) AS m FROM ({both}) z)"
-
-
-def diff(d: Dialect, a: str, b: str) -> str:
-    """Changes from a to b: (image_id, change, k_a, k_b); a pair may be moved and recoloured."""
-    m = matched(d, a, b)
-    pairs = f"SELECT m.image_id, m.a, m.b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS bq, p.color AS ac, q.color AS bc FROM ({m}) m JOIN {a} p ON p.image_id = m.image_id AND p.k = m.a JOIN {b} q ON q.image_id = m.image_id AND q.k = m.b"
-    far = T.distance2(T.rgb(d, "ac"), T.rgb(d, "bc"))
-    return f"""SELECT image_id, 'moved' AS change, a AS k_a, b AS k_b FROM ({pairs}) p WHERE abs(ax - bx) > 5 OR abs(ay - bq) > 5
-UNION ALL SELECT image_id, 'color_changed', a, b FROM ({pairs}) p WHERE ac <> '' AND bc <> '' AND {far} > 625
-UNION ALL SELECT image_id, 'removed', a, cast(NULL AS bigint) FROM ({m}) m WHERE b IS NULL
-UNION ALL SELECT q.image_id, 'added', cast(NULL AS bigint), q.k FROM {b} q LEFT JOIN (SELECT image_id AS i, b AS used FROM ({m}) m WHERE b IS NOT NULL) u ON u.i = q.image_id AND u.used = q.k WHERE u.used IS NULL"""
+        kind = "struct<k: bigint, type: string, x: bigint, y: bigint, w: bigint, h: bigint, color: string>"
+        free = f"filter(ys, b -> {T.iou_over('a.', 'b.', percent)} AND NOT exists(acc, m -> coalesce(m.b.k = b.k, false)))"
+        fold = f"aggregate(xs, cast(array() AS array<struct<a: {kind}, b: {kind}>>), (acc, a) -> array_append(acc, named_struct('a', a, 'b', get({free}, 0))))"
+        lists = f"SELECT image_id, coalesce(xs, cast(array() AS array<{kind}>)) AS xs, coalesce(ys, cast(array() AS array<{kind}>)) AS ys FROM ({both}) z"
+        folded = f"SELECT image_id, ys, {fold} AS ms FROM (SELECT image_id, transform(xs, s -> {_cast_side('s', kind)}) AS xs, transform(ys, s -> {_cast_side('s', kind)}) AS ys FROM ({lists}) t) f"
+        new = f"transform(filter(ys, b -> NOT exists(ms, m -> coalesce(m.b.k = b.k, false))), b -> named_struct('a', cast(NULL AS {kind}), 'b', b))"
+        return f"SELECT image_id, {names} FROM (SELECT image_id, m.a AS a, m.b AS b FROM (SELECT image_id, explode(concat(ms, {new})) AS m FROM ({folded}) g) e) p"
+    side = "{'k': CAST(NULL AS BIGINT), 'type': CAST(NULL AS VARCHAR), 'x': CAST(NULL AS BIGINT), 'y': CAST(NULL AS BIGINT), 'w': CAST(NULL AS BIGINT), 'h': CAST(NULL AS BIGINT), 'color': CAST(NULL AS VARCHAR)}"
+    wide = f"list_transform(coalesce(xs, []), lambda s: [{{'a': s, 'b': {side}}}])"
+    free = f"list_filter(coalesce(ys, []), lambda b: {T.iou_over('a[1].a.', 'b.', percent)} AND len(list_filter(acc, lambda m: m.b.k = b.k)) = 0)[1]"
+    fold = f"list_reduce(list_concat([[{{'a': {side}, 'b': {side}}}]], {wide}), lambda acc, a: list_concat(acc, [{{'a': a[1].a, 'b': coalesce({free}, {side})}}]))[2:]"
+    folded = f"SELECT image_id, coalesce(ys, []) AS ys, {fold} AS ms FROM ({both}) z"
+    new = f"list_transform(list_filter(ys, lambda b: len(list_filter(ms, lambda m: m.b.k = b.k)) = 0), lambda b: {{'a': {side}, 'b': b}})"
+    return f"SELECT image_id, {names} FROM (SELECT image_id, m.a AS a, m.b AS b FROM (SELECT image_id, unnest(list_concat(ms, {new})) AS m FROM ({folded}) g) e) p"
+
+
+def _cast_side(s: str, kind: str) -> str:
+    return f"cast({s} AS {kind})"
 
 
-def diff_summary(d: Dialect, a: str, b: str) -> str:
-    """A sentence for each screen of a: what moved, changed colour, came and went, each with its first example."""
-    first = f"row_number() OVER (PARTITION BY c.image_id, change ORDER BY coalesce(k_a, k_b)) AS r, count(*) OVER (PARTITION BY c.image_id, change) AS n"
-    rows = f"SELECT c.image_id, change, {first}, p.type AS a_type, p.x AS ax, p.y AS ay, p.color AS ac, q.type AS b_type, q.x AS bx, q.y AS bq, q.color AS bc FROM ({diff(d, a, b)}) c LEFT JOIN {a} p ON p.image_id = c.image_id AND p.k = k_a LEFT JOIN {b} q ON q.image_id = c.image_id AND q.k = k_b"
+def matched(d: Dialect, a: str, b: str, percent: int = 50) -> str:
+    """(image_id, a, b): the boxes of a, with their match or null."""
+    return f"SELECT image_id, a_k AS a, b_k AS b FROM ({pairs(d, a, b, percent)}) p WHERE a_k IS NOT NULL"
+
+
+def changes(d: Dialect, a: str, b: str) -> str:
+    """pairs() with flags: moved, color_changed, removed, added; a pair may be moved and recoloured."""
+    far = T.distance2(T.rgb(d, "a_color"), T.rgb(d, "b_color"))
+    met = "a_k IS NOT NULL AND b_k IS NOT NULL"
+    return f"""SELECT *, {met} AND (abs(a_x - b_x) > 5 OR abs(a_y - b_y) > 5) AS moved, {met} AND a_color <> '' AND b_color <> '' AND {far} > 625 AS color_changed,
+b_k IS NULL AS removed, a_k IS NULL AS added FROM ({pairs(d, a, b)}) p"""
+
+
+CHANGES = ("moved", "color_changed", "added", "removed")
+
+
+def diff(d: Dialect, a: str, b: str, change: str) -> str:
+    """(image_id, k_a, k_b) of one kind of change."""
+    return f"SELECT image_id, a_k AS k_a, b_k AS k_b FROM ({changes(d, a, b)}) c WHERE {change}"
+
+
+def diff_counts(d: Dialect, a: str, b: str) -> str:
+    """The number of boxes on either side."""
+    return f"SELECT image_id, count(a_k) AS a_boxes, count(b_k) AS b_boxes FROM ({pairs(d, a, b)}) p GROUP BY image_id"
+
+
+def summary(d: Dialect, source: str) -> str:
+    """A sentence for each screen of changes(): what moved, changed colour, came and went, each with its first example."""
     s = lambda v: f"cast({v} AS string)"
     said = {
-        "moved": f"concat({s('n')}, ' element(s) moved (e.g. ', a_type, ' (', {s('ax')}, ',', {s('ay')}, ') -> (', {s('bx')}, ',', {s('bq')}, '))')",
-        "color_changed": f"concat({s('n')}, ' element(s) changed color (e.g. ', a_type, ' ', ac, ' -> ', bc, ')')",
-        "added": f"concat({s('n')}, ' added (e.g. ', b_type, ' at (', {s('bx')}, ',', {s('bq')}, '))')",
-        "removed": f"concat({s('n')}, ' removed (e.g. ', a_type, ' at (', {s('ax')}, ',', {s('ay')}, '))')",
+        "moved": f"concat(' element(s) moved (e.g. ', a_type, ' (', {s('a_x')}, ',', {s('a_y')}, ') -> (', {s('b_x')}, ',', {s('b_y')}, '))')",
+        "color_changed": "concat(' element(s) changed color (e.g. ', a_type, ' ', a_color, ' -> ', b_color, ')')",
+        "added": f"concat(' added (e.g. ', b_type, ' at (', {s('b_x')}, ',', {s('b_y')}, '))')",
+        "removed": f"concat(' removed (e.g. ', a_type, ' at (', {s('a_x')}, ',', {s('a_y')}, '))')",
     }
-    parts = ", ".join(f"max(CASE WHEN change = '{c}' THEN {t} END)" for c, t in said.items())
-    told = f"SELECT image_id, concat_ws('; ', {parts}) AS summary FROM ({rows}) r WHERE r = 1 GROUP BY image_id"
-    return f"SELECT i.image_id, coalesce(t.summary, 'no structural changes detected') AS summary FROM (SELECT DISTINCT image_id FROM {a} s) i LEFT JOIN ({told}) t ON t.image_id = i.image_id"
+    first = lambda text, order, c: d.call(f"min_by(CASE WHEN {c} THEN {text} END, CASE WHEN {c} THEN {order} END)", f"arg_min({text}, {order}) FILTER (WHERE {c})")
+    parts = ", ".join(f"CASE WHEN count(CASE WHEN {c} THEN 1 END) > 0 THEN concat({s(f'count(CASE WHEN {c} THEN 1 END)')}, {first(t, 'b_k' if c == 'added' else 'a_k', c)}) END" for c, t in said.items())
+    return f"SELECT image_id, coalesce(nullif(concat_ws('; ', {parts}), ''), 'no structural changes detected') AS summary FROM {source} GROUP BY image_id"
+
+
+def diff_summary(d: Dialect, a: str, b: str) -> str:
+    return summary(d, f"({changes(d, a, b)}) c")
 
 
 def nearest_box(d: Dialect, points: str, source: str, reach: int = 90) -> str:
@@ -132,8 +163,8 @@ def bar_edges(d: Dialect, source: str) -> str:
 
 
 def distinct_edges(d: Dialect, edges: str) -> str:
-    """Each undirected edge once, in the direction of the first."""
-    return f"SELECT image_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY image_id, least(src, dst), greatest(src, dst) ORDER BY own) AS r FROM {edges}) z WHERE r = 1"
+    """Each undirected edge once, in the direction and at the place (own) of the first."""
+    return f"SELECT image_id, own, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY image_id, least(src, dst), greatest(src, dst) ORDER BY own) AS r FROM {edges}) z WHERE r = 1"
 
 
 def clusters(d: Dialect, values: str, tolerance: int = 10) -> str:

@@ -12,8 +12,10 @@ import numpy as np
 
 
 def gray(rgb: np.ndarray) -> np.ndarray:
-    r, g, b = (rgb[..., i].astype(np.int64) for i in range(3))
-    return ((19595 * r + 38470 * g + 7471 * b) >> 16).astype(np.uint8)
+    out = np.multiply(rgb[..., 0], 19595, dtype=np.uint32)
+    out += np.multiply(rgb[..., 1], 38470, dtype=np.uint32)
+    out += np.multiply(rgb[..., 2], 7471, dtype=np.uint32)
+    return (out >> 16).astype(np.uint8)
 
 
 def _shifted(plane: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -46,11 +48,13 @@ def thin(mag: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Only ridges across their direction stay; of a plateau of two the one that comes second goes."""
     out = np.zeros_like(mag)
     if min(mag.shape) > 2:
-        n, t = _shifted(mag), turn[1:-1, 1:-1]
-        ahead = np.choose(t, [n[0, -1], n[-1, -1], n[-1, 0], n[1, -1]])
-        behind = np.choose(t, [n[0, 1], n[1, 1], n[1, 0], n[-1, 1]])
-        v = n[0, 0]
-        out[1:-1, 1:-1] = np.where((v > 0) & (v >= ahead) & (v > behind), v, 0)
+        width, flat = mag.shape[1], mag.ravel()
+        y, x = np.nonzero(mag[1:-1, 1:-1])
+        at = (y + 1) * width + x + 1
+        step = np.array([1, width + 1, width, 1 - width])[turn.ravel()[at]]  # along the gradient
+        v = flat[at]
+        keep = at[(v >= flat[at - step]) & (v > flat[at + step])]
+        out.ravel()[keep] = flat[keep]
     return out
 
 
@@ -177,9 +181,9 @@ def features(rgb: np.ndarray, plane: np.ndarray, x: int, y: int, w: int, h: int)
     return total / (w * h), ring / total if total else 0.0, float(var)
 
 
-def components(rgb: np.ndarray, low: int = 50, high: int = 150) -> list[dict]:
+def components(rgb: np.ndarray, edges: np.ndarray) -> list[dict]:
     """Bounding boxes of closed edges with their features, in raster order; densities in hundredths are left as they are, as doubles."""
-    plane = closed(edge_map(rgb, low, high))
+    plane = closed(edges)
     lab, n = labels(plane > 0)
     if not n:
         return []
@@ -288,16 +292,17 @@ def from_lab(lab: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(c, 0, 1) * 255 + 0.5).astype(np.uint8)
 
 
-def kmeans(points: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and their sizes, from evenly spaced points; an empty centre keeps its place and size."""
-    k = min(k, len(points))
-    centers = points[np.arange(k) * len(points) // max(k, 1)].astype(np.float64)
+def kmeans(points: np.ndarray, k: int, rounds: int = 8, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and their sizes, from evenly spaced points; an empty centre keeps its place and size. which: for each point in order its number in `points`, where equal ones are given once."""
+    which = np.arange(len(points)) if which is None else which
+    k, times = min(k, len(which)), np.bincount(which, minlength=len(points)).astype(np.float64)
+    centers = points[which[np.arange(k) * len(which) // max(k, 1)]].astype(np.float64)
     sizes = np.zeros(k, np.int64)
     for _ in range(rounds):
         near = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-        count = np.bincount(near, minlength=k)
+        count = np.bincount(near, times, minlength=k).astype(np.int64)
         for c in range(points.shape[1]):
-            total = np.bincount(near, points[:, c], minlength=k)
+            total = np.bincount(near, points[:, c] * times, minlength=k)
             centers[:, c] = np.where(count > 0, total / np.maximum(count, 1), centers[:, c])
         sizes = np.where(count > 0, count, sizes)
     return centers, sizes
@@ -319,10 +324,12 @@ def merged_centers(centers: np.ndarray, sizes: np.ndarray, reach: float) -> list
 def dominant(rgb: np.ndarray, n: int = 5, k: int = 5, reach: float = 12.0, most: int = 8000) -> list[str]:
     h, w = rgb.shape[:2]
     step = max(1, int((h * w / most) ** 0.5)) if h * w > most else 1
-    points = to_lab(rgb[::step, ::step].reshape(-1, 3))
-    if not len(points):
+    px = rgb[::step, ::step].reshape(-1, 3).astype(np.int32)
+    if not len(px):
         return ["#FFFFFF"]
-    found = sorted(merged_centers(*kmeans(points, k), reach), key=lambda x: -x[1])
+    distinct, which = np.unique(px[:, 0] << 16 | px[:, 1] << 8 | px[:, 2], return_inverse=True)
+    points = to_lab(np.stack([distinct >> 16, distinct >> 8 & 255, distinct & 255], axis=1))
+    found = sorted(merged_centers(*kmeans(points, k, which=which), reach), key=lambda x: -x[1])
     return [hexed(from_lab(c)) for c, _ in found][:n]
 
 

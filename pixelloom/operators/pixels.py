@@ -14,9 +14,9 @@ def gray(d: Dialect, source: str) -> str:
     return f"SELECT image_id, y, x, {d.div('19595 * r + 38470 * g + 7471 * b', 65536)} AS v FROM {source}"
 
 
-def _around(source: str) -> str:
-    """v with its eight neighbours: n<dy><dx> for -1, 0, 1 as a, o, z; null beyond the border."""
-    rows = f"SELECT image_id, y, x, v AS noo, lag(v) OVER ({_ROW}) AS noa, lead(v) OVER ({_ROW}) AS noz FROM ({source}) s"
+def _around(source: str, *kept: str) -> str:
+    """v with its eight neighbours: n<dy><dx> for -1, 0, 1 as a, o, z; null beyond the border. kept: other columns that stay."""
+    rows = f"SELECT image_id, y, x, {''.join(f'{c}, ' for c in kept)}v AS noo, lag(v) OVER ({_ROW}) AS noa, lead(v) OVER ({_ROW}) AS noz FROM ({source}) s"
     up = ", ".join(f"lag(no{c}) OVER ({_COLUMN}) AS na{c}, lead(no{c}) OVER ({_COLUMN}) AS nz{c}" for c in "aoz")
     return f"SELECT *, {up} FROM ({rows}) r"
 
@@ -46,7 +46,7 @@ def sobel(d: Dialect, source: str) -> str:
 
 def _thin(d: Dialect, source: str) -> str:
     g = _gradient(d, gaussian(d, source))
-    near = f"SELECT a.*, s.dir FROM ({_around(g)}) a JOIN ({g}) s ON a.image_id = s.image_id AND a.y = s.y AND a.x = s.x"
+    near = _around(g, "dir")
     pairs = (("noa", "noz"), ("naa", "nzz"), ("nao", "nzo"), ("nza", "naz"))
     first = "CASE dir " + " ".join(f"WHEN {i} THEN {p[0]}" for i, p in enumerate(pairs)) + " END"
     second = "CASE dir " + " ".join(f"WHEN {i} THEN {p[1]}" for i, p in enumerate(pairs)) + " END"
@@ -86,33 +86,37 @@ def background(d: Dialect, source: str, height: int = 48) -> str:
     return f"SELECT image_id, {_mean_hex(d)} AS background FROM ({both}) u GROUP BY image_id"
 
 
-_BOX = (4, 4, 40, 30)
+def _inside(d: Dialect, boxes: str, plane: str) -> str:
+    """A row for each pixel of each box (image_id, k, x, y, w, h) that lies on the plane: the box as x0, y0, w, h, the pixel and what the plane has of it."""
+    upto = lambda lo, hi: d.call(f"explode(sequence({lo}, {hi}))", f"unnest(range({lo}, {hi} + 1))")
+    rows = f"SELECT image_id, k, x AS x0, y AS y0, w, h, {upto('y', 'y + h - 1')} AS y FROM {boxes} b WHERE w > 0 AND h > 0"
+    cells = f"SELECT image_id, k, x0, y0, w, h, y, {upto('x0', 'x0 + w - 1')} AS x FROM ({rows}) r"
+    return f"SELECT c.k, c.x0, c.y0, c.w, c.h, p.* FROM ({cells}) c JOIN ({plane}) p ON p.image_id = c.image_id AND p.y = c.y AND p.x = c.x"
 
 
-def avg_color(d: Dialect, source: str, box: tuple[int, int, int, int] = _BOX) -> str:
-    x, y, w, h = box
-    step = max(2, w // 16)
-    on = f"x BETWEEN {x + 1} AND {x + w - 2} AND y BETWEEN {y + 1} AND {y + h - 2} AND (x - {x + 1}) % {step} = 0 AND (y - {y + 1}) % {step} = 0"
-    return f"SELECT image_id, {_mean_hex(d)} AS color FROM {source} WHERE {on} GROUP BY image_id"
+def _sampled(d: Dialect, inset: str) -> str:
+    """Whether a pixel of a box is looked at: every so many, from an inset on."""
+    step = f"greatest(2, {d.div('w', 16)})"
+    return f"x BETWEEN x0 + {inset} AND x0 + w - {inset} - 1 AND y BETWEEN y0 + {inset} AND y0 + h - {inset} - 1 AND (x - x0 - {inset}) % {step} = 0 AND (y - y0 - {inset}) % {step} = 0"
 
 
-def edge_density(d: Dialect, source: str, box: tuple[int, int, int, int] = _BOX) -> str:
-    x, y, w, h = box
-    return f"SELECT image_id, round(cast(count(CASE WHEN v > 0 THEN 1 END) AS double) / {w * h}, 6) AS density FROM ({_thin(d, source)}) t WHERE x BETWEEN {x} AND {x + w - 1} AND y BETWEEN {y} AND {y + h - 1} GROUP BY image_id"
+def avg_color(d: Dialect, source: str, boxes: str) -> str:
+    return f"SELECT image_id, k, {_mean_hex(d)} AS color FROM ({_inside(d, boxes, f'SELECT * FROM {source}')}) i WHERE {_sampled(d, '1')} GROUP BY image_id, k"
 
 
-def ring_ratio(d: Dialect, source: str, box: tuple[int, int, int, int] = _BOX) -> str:
-    x, y, w, h = box
-    ring = f"(y - {y} < 2 OR {y + h - 1} - y < 2 OR x - {x} < 2 OR {x + w - 1} - x < 2)"
-    return f"SELECT image_id, round(CASE WHEN count(CASE WHEN v > 0 THEN 1 END) = 0 THEN cast(0 AS double) ELSE cast(count(CASE WHEN v > 0 AND {ring} THEN 1 END) AS double) / count(CASE WHEN v > 0 THEN 1 END) END, 6) AS ring FROM ({_thin(d, source)}) t WHERE x BETWEEN {x} AND {x + w - 1} AND y BETWEEN {y} AND {y + h - 1} GROUP BY image_id"
+def edge_density(d: Dialect, source: str, boxes: str) -> str:
+    return f"SELECT image_id, k, round(cast(count(CASE WHEN v > 0 THEN 1 END) AS double) / max(w * h), 6) AS density FROM ({_inside(d, boxes, _thin(d, source))}) i GROUP BY image_id, k"
 
 
-def color_var(d: Dialect, source: str, box: tuple[int, int, int, int] = _BOX) -> str:
-    x, y, w, h = box
-    step, inset = max(2, w // 16), 1 if w < 10 or h < 10 else 4
-    on = f"x BETWEEN {x + inset} AND {x + w - inset - 1} AND y BETWEEN {y + inset} AND {y + h - inset - 1} AND (x - {x + inset}) % {step} = 0 AND (y - {y + inset}) % {step} = 0"
+def ring_ratio(d: Dialect, source: str, boxes: str) -> str:
+    ring = "(y - y0 < 2 OR y0 + h - 1 - y < 2 OR x - x0 < 2 OR x0 + w - 1 - x < 2)"
+    return f"SELECT image_id, k, round(CASE WHEN count(CASE WHEN v > 0 THEN 1 END) = 0 THEN cast(0 AS double) ELSE cast(count(CASE WHEN v > 0 AND {ring} THEN 1 END) AS double) / count(CASE WHEN v > 0 THEN 1 END) END, 6) AS ring FROM ({_inside(d, boxes, _thin(d, source))}) i GROUP BY image_id, k"
+
+
+def color_var(d: Dialect, source: str, boxes: str) -> str:
+    on = _sampled(d, "CASE WHEN w < 10 OR h < 10 THEN 1 ELSE 4 END")
     var = " + ".join(f"greatest(cast(0 AS double), cast(sum({c} * {c}) AS double) / count(*) - (cast(sum({c}) AS double) / count(*)) * (cast(sum({c}) AS double) / count(*)))" for c in "rgb")
-    return f"SELECT image_id, round(CASE WHEN count(*) < 4 THEN cast(0 AS double) ELSE ({var}) / 195075 END, 6) AS color_var FROM {source} WHERE {on} GROUP BY image_id"
+    return f"SELECT image_id, k, round(CASE WHEN count(*) < 4 THEN cast(0 AS double) ELSE ({var}) / 195075 END, 6) AS color_var FROM ({_inside(d, boxes, f'SELECT * FROM {source}')}) i WHERE {on} GROUP BY image_id, k"
 
 
 def otsu(d: Dialect, source: str) -> str:
@@ -152,4 +156,6 @@ def rotations(d: Dialect, source: str, width: int = 64, height: int = 48) -> str
     return " UNION ALL ".join(f"SELECT image_id, {o} AS orientation, cast(sum((({nx}) * 131 + ({ny})) * (r + 1)) AS bigint) AS placed FROM {source} GROUP BY image_id" for o, (nx, ny) in to.items())
 
 
-QUERIES = {f.__name__: f for f in (gray, gaussian, sobel, nms, threshold, morph_close, blur_metric, background, avg_color, edge_density, ring_ratio, color_var, otsu, sauvola, samples, line_runs, rotations)}
+QUERIES = {f.__name__: f for f in (gray, gaussian, sobel, nms, threshold, morph_close, blur_metric, background, otsu, sauvola, samples, line_runs, rotations)}
+#: Those that look at boxes on the pixels.
+OF_BOXES = {f.__name__: f for f in (avg_color, edge_density, ring_ratio, color_var)}

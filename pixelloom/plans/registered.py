@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import DUCKDB
+from ..operators import kernels as K
+from ..operators import pixels as P
 from ..shipping import ship
 from ..sources import derived as S
 from ..sources.images import encode_png
@@ -20,6 +23,8 @@ def drawn_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     c = S.components(spark, sf_dir)
     box = F.struct("k", *[(F.col(v) * 2 / 5).cast("int").alias(v) for v in "xywh"], "color")
+    # As many tasks as there are cores and a few more, as each screen costs a moment of a core and is small.
+    c = c.repartition(4 * spark.sparkContext.defaultParallelism, "image_id")
     lists = c.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("m"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,5 +45,86 @@ def extract_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "width", "height", "page_type", "page_confidence", F.size("boxes").alias("n_boxes"), F.size("tables").alias("n_tables"), "background", "markdown")
 
 
+def _planes(spark: SparkSession, sf_dir: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Rows that a kernel gives for each derived screen's image, with its image_id first."""
+    ship(spark)
+    px = S.pixels(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "image_id")
+    lists = px.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "r", "g", "b")).alias("m"))  # a canvas each
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for image_id, m in zip(pdf["image_id"], pdf["m"], strict=True):
+                img = np.zeros((S.PIX_H, S.PIX_W, 3), np.uint8)
+                for p in m:
+                    img[p["y"], p["x"]] = p["r"], p["g"], p["b"]
+                out += [(image_id, *row) for row in kernel(img)]
+            yield pd.DataFrame(out, columns=names)
+
+    return lists.mapInPandas(run, schema)
+
+
+def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge pixels: ridges over 150, and those over 50 that reach one."""
+    return _planes(spark, sf_dir, lambda img: [(int(y), int(x)) for y, x in zip(*np.nonzero(K.edge_map(img)), strict=True)], "image_id long, y long, x long")
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8-connected components of the closed edge plane: number, bounding box and pixels."""
+
+    def found(img: np.ndarray) -> list[tuple]:
+        lab, n = K.labels(K.closed(K.edge_map(img)) > 0)
+        spots = [np.nonzero(lab == k + 1) for k in range(n)]
+        return [(k, int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1, len(x)) for k, (y, x) in enumerate(spots)]
+
+    return _planes(spark, sf_dir, found, "image_id long, k long, x long, y long, w long, h long, pixels long")
+
+
+def kmeans_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres and sizes of the colours of each screen after eight rounds."""
+
+    def found(img: np.ndarray) -> list[tuple]:
+        centers, sizes = K.kmeans(K.to_lab(img.reshape(-1, 3)), 5)
+        return [(k, *(round(float(v), 4) for v in c), int(n)) for k, (c, n) in enumerate(zip(centers, sizes, strict=True))]
+
+    return _planes(spark, sf_dir, found, "image_id long, k long, lab_l double, lab_a double, lab_b double, pixels long")
+
+
+def merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those centres, close ones merged, the largest first."""
+
+    def found(img: np.ndarray) -> list[tuple]:
+        merged = sorted(K.merged_centers(*K.kmeans(K.to_lab(img.reshape(-1, 3)), 5), 12.0), key=lambda x: -x[1])
+        return [(k, K.hexed(K.from_lab(c)), int(n)) for k, (c, n) in enumerate(merged)]
+
+    return _planes(spark, sf_dir, found, "image_id long, k long, color string, pixels long")
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled tables of each screen, its image drawn eight times as large."""
+
+    def found(img: np.ndarray) -> list[tuple]:
+        big = np.repeat(np.repeat(img, 8, axis=0), 8, axis=1)
+        return [(k, t["x"], t["y"], t["w"], t["h"], t["rows"], t["cols"]) for k, t in enumerate(K.tables(K.edge_map(big)))]
+
+    return _planes(spark, sf_dir, found, "image_id long, k long, x long, y long, w long, h long, n_rows long, n_cols long")
+
+
+def compare_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each screen compared with the next one, by their images; a row with an error where there is no other one."""
+    a = drawn_screens(spark, sf_dir).select(F.substring("path", 8, 20).cast("long").alias("pair"), "content")
+    b = a.select((F.col("pair") - 1).alias("pair"), "content")
+    return E.compare(a, b).select("pair", "error", "summary", "a_boxes", "b_boxes")
+
+
+#: In SQL only the first is told within reasonable time; the others are held against brute force by tests.
+ORACLES = {
+    "hysteresis": f"""WITH RECURSIVE ridge AS MATERIALIZED (SELECT * FROM ({P.nms(DUCKDB, f"({S.pixels_sql(DUCKDB)}) p")}) r WHERE v > 50),
+hit AS (SELECT image_id, y, x FROM ridge WHERE v > 150 UNION SELECT r.image_id, r.y, r.x FROM hit h JOIN ridge r ON r.image_id = h.image_id AND r.y BETWEEN h.y - 1 AND h.y + 1 AND r.x BETWEEN h.x - 1 AND h.x + 1)
+SELECT image_id, y, x FROM hit"""
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"extract_image": extract_image}
+    return {f.__name__: f for f in (extract_image, compare_images, hysteresis, components, kmeans_rounds, merge_close, tables)}

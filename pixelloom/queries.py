@@ -11,6 +11,7 @@ from .functions.text import DUCKDB, SPARK, Dialect
 from .operators import boxes as B
 from .operators import layout as L
 from .operators import pixels as P
+from .oracles import SQL as ORACLES
 from .sources import derived as S
 
 W, H = S.WIDTH, S.HEIGHT
@@ -87,6 +88,20 @@ def _points(d: Dialect) -> str:
     return f"(SELECT image_id, k AS p, x + {d.div('w', 2)} AS px, y - 5 AS py FROM el WHERE k % 3 = 0)"
 
 
+def _markdown(d: Dialect) -> str:
+    """Descriptions with every kind of line: orientations, tables, texts (of every third screen as an engine reads them), diagrams."""
+    page = B.page_type(d, _pages(d), "el", W, H)
+    nl = d.call("'\\n'", "chr(10)")
+    rest = f"CASE WHEN p.image_id % 2 = 0 THEN 'general' ELSE 'diagram' END AS mode, p.image_id % 9 AS orientation, concat_ws(' ', i.background, '#336699') AS dominant, CASE WHEN p.image_id % 4 = 1 THEN concat('flowchart TD', {nl}, '  A[empty]', {nl}) END AS mermaid"
+    pages = f"(SELECT p.image_id, {W} AS width, {H} AS height, i.background, page_type, confidence, {rest} FROM ({page}) p JOIN {_pages(d)} i ON p.image_id = i.image_id)"
+    ordered = f"(SELECT *, {T.caption(d, W, H)} AS caption FROM {T.with_channels(d, '(' + B.ordered(d, 'el') + ') q')} q2)"
+    tables = "(SELECT image_id, k AS i, x, y, w, h, k + 1 AS n_rows, k + 2 AS n_cols FROM el WHERE type = 'card' AND w > 200) tb"
+    quote = d.call("'\\\\'", "chr(92)")
+    words = f"CASE WHEN image_id % 3 = 0 THEN concat('says \"', color, {quote}) ELSE {T.guess_text()} END"
+    texts = f"(SELECT image_id, k AS i, {words} AS words, x, y, w, h, cast(k % 20 AS double) / 20 AS conf FROM el WHERE {T.is_placeholder()}) tx"
+    return _with(d, L.markdown(d, pages, ordered, f"({B.grids(d, 'el')})", tables, texts))
+
+
 SQL: dict[str, Callable[[Dialect], str]] = {
     "filter_components": lambda d: f"SELECT image_id, k, {T.kept(W, H, S.MIN_AREA)} AS kept FROM ({S.components_sql(d)}) c",
     "classify_boxes": lambda d: f"SELECT image_id, k, type, score FROM {_elements(d)}",
@@ -111,10 +126,10 @@ SQL: dict[str, Callable[[Dialect], str]] = {
     "nearest_box": lambda d: _with(d, B.nearest_box(d, _points(d), "el")),
     "nearest_center": lambda d: _with(d, B.nearest_center(d, f"(SELECT image_id, p, p AS own, px, py FROM {_points(d)} po)", "el")),
     "bar_edges": lambda d: _with(d, B.bar_edges(d, "el")),
-    "edge_dedup": lambda d: _with(d, B.distinct_edges(d, f"({B.bar_edges(d, 'el')}) b")),
+    "edge_dedup": lambda d: _with(d, "SELECT image_id, src, dst FROM (" + B.distinct_edges(d, f"({B.bar_edges(d, 'el')}) b") + ") e"),
     "diff_matched": lambda d: _with_sides(d, B.matched(d, *_sides(d))),
-    **{f"diff_{c}": (lambda c: lambda d: _with_sides(d, f"SELECT image_id, k_a, k_b FROM ({B.diff(d, *_sides(d))}) x WHERE change = '{c}'"))(c) for c in ("moved", "color_changed", "removed", "added")},
-    "diff_counts": lambda d: _with_sides(d, "SELECT a.image_id, a.n AS a_boxes, coalesce(b.n, 0) AS b_boxes FROM (SELECT image_id, count(*) AS n FROM ea GROUP BY image_id) a LEFT JOIN (SELECT image_id, count(*) AS n FROM eb GROUP BY image_id) b ON a.image_id = b.image_id"),
+    **{f"diff_{c}": (lambda c: lambda d: _with_sides(d, B.diff(d, *_sides(d), c)))(c) for c in B.CHANGES},
+    "diff_counts": lambda d: _with_sides(d, B.diff_counts(d, *_sides(d))),
     "diff_summary": lambda d: _with_sides(d, B.diff_summary(d, *_sides(d))),
     "grids": lambda d: _with(d, B.grids(d, "el")),
     "cluster_count": lambda d: _with(d, f"SELECT image_id, cast({B.clusters(d, 'xs')} AS int) AS columns_found FROM (SELECT image_id, {d.call('array_sort(collect_list(x))', 'list(x ORDER BY x)')} AS xs FROM el GROUP BY image_id) g"),
@@ -122,14 +137,16 @@ SQL: dict[str, Callable[[Dialect], str]] = {
     "layout_leaves": lambda d: _with(d, L.leaves(d, "el")),
     "layout_regions": lambda d: _with(d, L.regions(d, "el")),
     "layout_rows": lambda d: _with(d, L.rows_of_page(d, "el")),
-    "hierarchy_edges": lambda d: _with(d, L.hierarchy(d, "el")),
+    "layout_nodes": lambda d: _with(d, L.nodes(d, "el")),
+    "hierarchy_edges": lambda d: _with(d, L.hierarchy(d, f"(SELECT n.*, o.ord FROM ({L.nodes(d, 'el')}) n LEFT JOIN ({B.ordered(d, 'el')}) o ON o.image_id = n.image_id AND o.k = n.k) t")),
     "mermaid_nodes": lambda d: L.graph_nodes(d, _ordered(d)),
     "mermaid_chain": lambda d: _with(d, L.chain(d, "el")),
-    "markdown": lambda d: _with(d, L.markdown(d, f"(SELECT p.image_id, {W} AS width, {H} AS height, i.background, page_type, confidence FROM ({B.page_type(d, _pages(d), 'el', W, H)}) p JOIN {_pages(d)} i ON p.image_id = i.image_id)", f"(SELECT *, {T.caption(d, W, H)} AS caption FROM {T.with_channels(d, '(' + B.ordered(d, 'el') + ') q')} q2)", f"({B.grids(d, 'el')})")),
+    "markdown": _markdown,
     "config_clamps": _config,
     "decode_limits": _limits,
     "preprocess_decision": _preprocess,
     **{name: (lambda f: lambda d: f(d, f"({S.pixels_sql(d)}) p"))(f) for name, f in P.QUERIES.items()},
+    **{name: (lambda f: lambda d: f(d, f"({S.pixels_sql(d)}) p", f"({S.small_boxes_sql(d)})"))(f) for name, f in P.OF_BOXES.items()},
 }
 
 
@@ -146,4 +163,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(DUCKDB) for name, f in SQL.items()}
+    """The queries' checks: written apart from them where there is one (oracles.py), else the same templates in DuckDB's SQL."""
+    return {name: f(DUCKDB) for name, f in SQL.items()} | ORACLES

@@ -42,16 +42,21 @@ def second_sql(d: Dialect, source: str) -> str:
 UNION ALL SELECT image_id, cast(100 AS bigint), 'card', cast(900 AS bigint), cast(700 AS bigint), cast(60 AS bigint), cast(40 AS bigint), '#102030' FROM {source} WHERE k = 0 AND image_id % 4 = 0"""
 
 
+def small_boxes_sql(d: Dialect, events: str = "events") -> str:
+    """(image_id, k, x, y, w, h): the boxes as they lie on the small canvas."""
+    return f"SELECT image_id, k, {', '.join(f'{d.div(c, SHRINK)} AS {c}' for c in 'xy')}, {', '.join(f'{d.div(c, SHRINK)} + 1 AS {c}' for c in 'wh')} FROM ({components_sql(d, events)}) c"
+
+
 def pixels_sql(d: Dialect, events: str = "events") -> str:
-    """(image_id, y, x, r, g, b): a white canvas with all boxes of a screen, shrunk, for every screen; later boxes lie on top."""
+    """(image_id, y, x, r, g, b): a white canvas with all boxes of a screen, shrunk, for every screen; later boxes lie on top. Each box gives its own pixels, each screen its canvas."""
     boxes = f"(SELECT image_id, k, {', '.join(f'{d.div(c, SHRINK)} AS {c}' for c in 'xywh')}, (k * 67 + image_id * 31) % 256 AS r, (k * 131) % 256 AS g, (image_id * 29) % 256 AS b FROM ({components_sql(d, events)}) c)"
-    grid = d.call(
-        f"(SELECT cast(id div {PIX_W} AS bigint) AS y, cast(id % {PIX_W} AS bigint) AS x FROM range({PIX_W * PIX_H}))",
-        f"(SELECT id // {PIX_W} AS y, id % {PIX_W} AS x FROM range({PIX_W * PIX_H}) t(id))",
-    )
-    top = "max(CASE WHEN p.x BETWEEN q.x AND q.x + q.w AND p.y BETWEEN q.y AND q.y + q.h THEN q.k * 16777216 + q.r * 65536 + q.g * 256 + q.b END)"
-    low = f"(SELECT q.image_id, p.y, p.x, {top} AS v FROM {boxes} q CROSS JOIN {grid} p GROUP BY q.image_id, p.y, p.x)"
-    return f"SELECT image_id, y, x, coalesce({d.div('v', 65536)} % 256, 255) AS r, coalesce({d.div('v', 256)} % 256, 255) AS g, coalesce(v % 256, 255) AS b FROM {low} z"
+    upto = lambda lo, hi: d.call(f"explode(sequence(cast({lo} AS bigint), cast({hi} AS bigint)))", f"unnest(range({lo}, {hi} + 1))")
+    rows = f"SELECT image_id, {upto('y', f'least(y + h, {PIX_H - 1})')} AS y, x, least(x + w, {PIX_W - 1}) AS last, k * 16777216 + r * 65536 + g * 256 + b AS v FROM {boxes} q WHERE y < {PIX_H} AND x < {PIX_W}"
+    painted = f"SELECT image_id, y, {upto('x', 'last')} AS x, v FROM ({rows}) p"
+    screens = f"SELECT image_id, {upto(0, PIX_H - 1)} AS y FROM (SELECT DISTINCT {d.div('event_id', 20)} AS image_id FROM {events}) i"
+    canvas = f"SELECT image_id, y, {upto(0, PIX_W - 1)} AS x, cast(NULL AS bigint) AS v FROM ({screens}) s"
+    top = f"SELECT image_id, y, x, max(v) AS v FROM ({painted} UNION ALL {canvas}) u GROUP BY image_id, y, x"
+    return f"SELECT image_id, y, x, coalesce({d.div('v', 65536)} % 256, 255) AS r, coalesce({d.div('v', 256)} % 256, 255) AS g, coalesce(v % 256, 255) AS b FROM ({top}) z"
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

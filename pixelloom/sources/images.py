@@ -1,4 +1,4 @@
-"""Image sources: files as rows, headers checked before pixels are decoded, EXIF orientation, a stdlib PNG codec for 8-bit images."""
+"""Image sources: files as rows, headers checked before pixels are decoded, EXIF orientation, a PNG codec over zlib; other formats by Spark's image source."""
 
 from __future__ import annotations
 
@@ -17,9 +17,40 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 IMAGES = "path string, w int, h int, orientation int, error string, content binary"
 
 
+#: What the JVM's reader has decoded: rows of pixels, channels last, blue first.
+DECODED = "struct<height:int,width:int,nChannels:int,data:binary>"
+#: Files that are decoded in the JVM.
+_BY_JVM = "*.{jpg,jpeg,JPG,JPEG,gif,GIF,bmp,BMP}"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (path, content): a batch source that splits by file."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Files as (path, content, image): a batch source that splits by file. JPEG, GIF and BMP files are decoded by Spark's image source (image); PNG files by pixels_of(), from their content."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    other = F.lower("path").rlike("\\.(jpe?g|gif|bmp)$")
+    plain = files.where(~other).withColumn("image", F.lit(None).cast(DECODED))
+    if not files.where(other).select("path").limit(1).count():
+        return plain
+    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", _BY_JVM).load(path)
+    decoded = decoded.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("origin"), F.struct("image.height", "image.width", "image.nChannels", "image.data").cast(DECODED).alias("image"))
+    theirs = files.where(other).withColumn("origin", F.regexp_replace("path", "^file:/+", "file:/"))
+    return plain.unionByName(theirs.join(decoded, "origin", "left").select("path", "content", "image"))
+
+
+def pixels_of(content: bytes, image: object, max_pixels: int = MAX_PIXELS) -> np.ndarray:
+    """RGB of a file, from its content (PNG) or as the source has decoded it; ValueError for what can't be read or is too large."""
+    if image is not None:
+        h, w, n = (int(image[c]) for c in ("height", "width", "nChannels"))
+    else:
+        w, h = header(content)
+    if error := refusal(w, h, max_pixels):
+        raise ValueError(error)
+    if image is None:
+        return decode_png(content)
+    px = np.frombuffer(image["data"], np.uint8).reshape(h, w, n)
+    if n == 1:
+        return np.repeat(px, 3, axis=2)
+    rgb = px[..., 2::-1]
+    return (rgb.astype(np.uint32) * 257 * px[..., 3:] // 255 >> 8).astype(np.uint8) if n == 4 else np.ascontiguousarray(rgb)
 
 
 def header(content: bytes) -> tuple[int, int]:
@@ -93,9 +124,16 @@ def rotated(img: np.ndarray, orientation: int) -> np.ndarray:
     return out[:, ::-1] if flip else out
 
 
+#: Samples a pixel by colour type, and where an interlaced image's passes begin and how they step: (x, y, dx, dy).
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def decode_png(content: bytes) -> np.ndarray:
-    """RGB of an 8-bit PNG without interlacing, colour premultiplied by alpha."""
-    at, data, palette, head = 8, [], None, None
+    """RGB of a PNG of any depth and colour type, interlaced or not, colour premultiplied by alpha; of 16 bits the upper 8."""
+    if content[:8] != _PNG:
+        raise ValueError("no decoder for this format here")
+    at, data, palette, clear, head = 8, [], None, b"", None
     while at + 8 <= len(content):
         size, kind = struct.unpack(">I4s", content[at : at + 8])
         body = content[at + 8 : at + 8 + size]
@@ -104,45 +142,92 @@ def decode_png(content: bytes) -> np.ndarray:
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            clear = body
         elif kind == b"IDAT":
             data.append(body)
-    if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6):
-        raise ValueError("only 8-bit PNGs without interlacing are decoded here")
-    w, h, _, kind = head[:4]
-    depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * depth)
-    out, above = np.zeros((h, w * depth), np.uint8), np.zeros(w * depth, np.uint8)
-    for y in range(h):
-        out[y] = above = _unfilter(int(raw[y, 0]), raw[y, 1:], above, depth)
-    px = out.reshape(h, w, depth)
+    if head is None or head[3] not in _SAMPLES or head[2] not in (1, 2, 4, 8, 16) or head[6] > 1 or (head[3] == 3) > (palette is not None):
+        raise ValueError("not a PNG that the format allows")
+    w, h, depth, kind, _, _, interlaced = head
+    passes = [(x, y, dx, dy, -(-(w - x) // dx), -(-(h - y) // dy)) for x, y, dx, dy in (_PASSES if interlaced else ((0, 0, 1, 1),))]
+    passes = [p for p in passes if p[4] > 0 and p[5] > 0]
+    strides = [-(-p[4] * _SAMPLES[kind] * depth // 8) for p in passes]
+    total = sum((1 + stride) * p[5] for stride, p in zip(strides, passes, strict=True))
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(data), total), np.uint8)  # never more than the header says
+    if len(raw) < total:
+        raise ValueError("the image data ends early")
+    px, begin = np.zeros((h, w, _SAMPLES[kind]), np.uint16), 0
+    for (x, y, dx, dy, pw, ph), stride in zip(passes, strides, strict=True):
+        rows = raw[begin : begin + (1 + stride) * ph].reshape(ph, 1 + stride)
+        begin += rows.size
+        px[y::dy, x::dx] = _samples(_unfiltered(rows, max(1, _SAMPLES[kind] * depth // 8)), depth, pw, _SAMPLES[kind])
+    return _rgb(px, depth, kind, palette, clear)
+
+
+def _samples(rows: np.ndarray, depth: int, w: int, n: int) -> np.ndarray:
+    """Packed rows → samples [y, x, channel]."""
+    if depth == 16:
+        out = rows.reshape(len(rows), -1, 2).astype(np.uint16)
+        out = out[..., 0] << 8 | out[..., 1]
+    elif depth == 8:
+        out = rows
+    else:
+        bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
+        out = (bits * (1 << np.arange(depth - 1, -1, -1, dtype=np.uint8))).sum(axis=2)
+    return out[:, : w * n].reshape(len(rows), w, n)
+
+
+def _rgb(px: np.ndarray, depth: int, kind: int, palette: np.ndarray | None, clear: bytes) -> np.ndarray:
+    """Samples → colours of 8 bits, premultiplied."""
+    alpha = None
     if kind == 3:
-        return palette[px[..., 0]]
-    rgb = np.repeat(px[..., :1], 3, axis=2) if kind in (0, 4) else px[..., :3]
-    if kind in (4, 6):
-        rgb = ((rgb.astype(np.uint32) * 257 * px[..., -1:]) // 255 >> 8).astype(np.uint8)
-    return rgb
-
-
-def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, depth: int) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 2:
-        return row + above
-    if kind == 1:
-        return np.cumsum(row.reshape(-1, depth), axis=0, dtype=np.uint8).ravel()
-    out = row.astype(np.int32)
-    up = above.astype(np.int32)
-    for i in range(len(out)):
-        a = int(out[i - depth]) if i >= depth else 0
-        b = int(up[i])
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            c = int(up[i - depth]) if i >= depth else 0
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        out[i] = (out[i] + guess) & 255
-    return out.astype(np.uint8)
+        index = np.minimum(px[..., 0], len(palette) - 1)
+        rgb = palette[index]
+        if clear:
+            alpha = np.concatenate([np.frombuffer(clear, np.uint8), np.full(256, 255, np.uint8)])[index]
+    else:
+        colors = px[..., :1] if kind in (0, 4) else px[..., :3]
+        if clear and kind in (0, 2):
+            key = np.frombuffer(clear[: 2 * colors.shape[2]], ">u2")
+            alpha = np.where((colors == key).all(axis=2), 0, 255)
+        eight = [c >> 8 if depth == 16 else c * (255 // ((1 << depth) - 1)) for c in (colors, px[..., -1])]
+        rgb = np.repeat(eight[0], 3, axis=2) if colors.shape[2] == 1 else eight[0]
+        alpha = eight[1] if kind in (4, 6) else alpha
+    if alpha is not None:
+        rgb = rgb.astype(np.uint32) * 257 * alpha[..., None] // 255 >> 8
+    return rgb.astype(np.uint8)
+
+
+def _unfiltered(rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows with their filter's number first → the bytes of the image; n: bytes that a pixel's left neighbour is away."""
+    kinds, body = rows[:, 0], rows[:, 1:]
+    h, stride = body.shape
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown filter")
+    if kinds.max(initial=0) < 3:
+        out, above = np.empty_like(body), np.zeros(stride, np.uint8)
+        for y in range(h):
+            row = body[y]
+            if kinds[y] == 1:
+                row = np.cumsum(row.reshape(-1, n), axis=0, dtype=np.uint8).ravel()
+            elif kinds[y] == 2:
+                row = row + above
+            out[y] = above = row
+        return out
+    # Every pixel needs those to its left and above: all of an anti-diagonal at once.
+    w = stride // n
+    out = np.zeros((h + 1, w + 1, n), np.int16)
+    given, kind = body.reshape(h, w, n), kinds[:, None]
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_left, to_up = np.abs(up - corner), np.abs(left - corner)
+        to_corner = np.abs(left + up - 2 * corner)
+        near = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kind[y], [np.zeros_like(left), left, up, (left + up) >> 1, near])
+        out[y + 1, x + 1] = (given[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, stride)
 
 
 def encode_png(rgb: np.ndarray) -> bytes:
@@ -178,6 +263,17 @@ def stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path).select("path", "content", "modificationTime")
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """(value): one JSON document a row, indented."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"}).alias("value"))
+
+
+def as_document(df: DataFrame) -> DataFrame:
+    """(value): a row's markdown, and its JSON document fenced below it, as commands and tools pass it on."""
+    json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"})
+    return df.select(F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n```json\n"), json, F.lit("\n```\n")).alias("value"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON document a row."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    """One JSON document a line."""
+    df.write.mode("overwrite").json(path)
