@@ -109,7 +109,7 @@ DIGESTS = (
     ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
     ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-1.1", "0b93918765bfa96471883549916c4ce7b68df4d9bc72806c09441a4f5e89e12a"),
     ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
 )
 #: Spellings that count as one, after lower-casing.
@@ -128,8 +128,8 @@ EQUIVALENT = (
     ("&", " and "),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that begins, maybe behind comment signs, with a copyright mark and a year, another mark or a name; its line break before it goes too.
-COPYRIGHT_LINE = "(^|\\n)[ \\t/*#;!<>%.-]*((?i:copyright)[ \\t:]*(\\((?i:c)\\)|©|[0-9]{4})|\\((?i:c)\\)[ \\t]*((?i:copyright)|[0-9]{4})|©|Copyright[ \\t]+[A-Z]|(?i:all rights reserved))[^\\n]*"
+#: A line that begins, maybe behind comment signs, with a copyright mark and a year, another mark or a name (behind a mere (c), four words at most); its line break before it goes too.
+COPYRIGHT_LINE = "(^|\\n)[ \\t/*#;!<>%.-]*((?i:copyright)[ \\t:]*(\\((?i:c)\\)|©|[0-9]{4})|\\((?i:c)\\)[ \\t]*((?i:copyright)|[0-9]{4}|[^ \\t\\n]+([ \\t]+[^ \\t\\n]+){0,3}[ \\t]*(?m:$))|©|Copyright[ \\t]+[A-Z]|(?i:all rights reserved))[^\\n]*"
 #: Everything but words and line breaks: ASCII but 0-9 and a-z, typographic quotes and dashes, bullets, no-break space.
 NOT_WORDS = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F“”‘’–—• ]+"
 
