@@ -12,6 +12,7 @@ from .operators import boxes as B
 from .operators import layout as L
 from .operators import pixels as P
 from .oracles import SQL as ORACLES
+from .plans import planes
 from .sources import derived as S
 
 W, H = S.WIDTH, S.HEIGHT
@@ -159,7 +160,8 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in SQL}
+    """Each by its SQL; those that make pixels by their kernels, for which the SQL is the definition."""
+    return {name: planes.query(name, SQL[name](SPARK)) if name in planes.PLANS else _query(name) for name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:
